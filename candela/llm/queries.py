@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontam, langid, neardup, packing, quality
+from . import ann, decontam, html, langid, lmscore, neardup, packing, quality, toxicity, warc
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,5 +35,31 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents.select("doc_id", held_out.alias("held_out"), "text"), model, threshold=0.3).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_decontamination, op4_language, op7_quality)}
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(C.table(spark, sf_dir, "pages"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(C.table(spark, sf_dir, "pages"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    grammar = toxicity.fit(documents, C.table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(C.crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
+    return toxicity.score(documents.select("doc_id", held_out.alias("held_out"), "text"), grammar, threshold=0.5).drop("text")
+
+
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = C.crc_mod(F.col("doc_id"), 7) == 2
+    counts = lmscore.count(documents, ~held_out)
+    return lmscore.score(documents, held_out, counts, lmscore.fit(counts))
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(C.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_decontamination, op4_language, op5_main_text, op6_warc, op7_quality, op8_toxicity, op9_language_model, op10_nearest)}
 ORACLES = {"op3_decontamination": decontam.ORACLE}

@@ -32,6 +32,8 @@ SAMPLE = 20_000
 LEXICON = 4_000
 SHORTEST, LONGEST = 4, 9
 SCOPE = 3
+#: A key tells if its log odds and its likelihood ratio against chance are so large.
+LEAST_ODDS, LEAST_EVIDENCE = 2.5, 20.0
 # fixed values: closed word classes in the languages served
 TARGET = "you your yours yourself he she they him her them their this these those people du dich dir dein deine ihr euch sie er tu toi te vous votre il elle ils elles tú ti usted ustedes él ella ellos ellas".split()
 NEGATION = "not no never none neither nor without isn't aren't wasn't don't doesn't nicht kein keine keinen nie niemals ohne pas jamais aucun aucune sans ni nunca jamás ningún ninguna sin".split()
@@ -239,7 +241,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Gramma
     stems, words = {}, {}
     if toxic and clean:
         odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("n") + 0.5) / (clean + 1))
-        rows = counts.where((F.col("key") != "  ") & (F.col("t") >= max(3, 0.003 * toxic)) & (odds >= 3)).orderBy(-F.col("t") * odds, "key").limit(LEXICON).collect()
+        share, met = toxic / (toxic + clean), F.col("t") + F.col("n")
+        evidence = 2 * (F.col("t") * F.log(F.col("t") / (met * share)) + F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / (met * (1 - share)))).otherwise(0.0))
+        rows = counts.where((F.col("key") != "  ") & (F.col("t") >= 3) & (odds >= LEAST_ODDS) & (evidence >= LEAST_EVIDENCE)).orderBy(-F.col("t") * odds, "key").limit(LEXICON).collect()
         stems, words = lexicon([tuple(r) for r in rows], toxic, clean)
     grammar = Grammar(stems, words, prior_weights(), 0.0)
 
