@@ -28,14 +28,14 @@ from . import common as C
 
 BANDS, ROWS = 25, 5
 SMALL_BUCKET = 24
-BLOCK = 256
-#: A pair whose signatures agree on less than threshold - SLACK isn't confirmed: six standard errors.
-SLACK = 0.2
+BLOCK = 512
+#: A pair whose signatures agree on less than threshold - SLACK isn't confirmed: over four standard errors.
+SLACK = 0.16
 _RNG = np.random.default_rng(20_240_229)
 _A = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _BAND_SALT = _RNG.integers(0, 2**63, BANDS, dtype=np.uint64)
-SKETCH = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, signature binary"
+SKETCH = "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>, bands binary, signature binary"
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
@@ -60,20 +60,21 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin in range(0, batch.num_rows, 2000):
             part = batch.slice(begin, 2000)
-            counts, digests, bands, signatures = [], [], [], []
+            counts, digests, keys, bands, signatures = [], [], [], [], []
             for text in C.texts(part, "text"):
                 shingles = C.shingle_set(C.word_hashes((text or "").encode()))
                 counts.append(len(shingles))
                 if not len(shingles):
-                    digests.append(None), bands.append(None), signatures.append(None)
+                    digests.append(None), keys.append(None), bands.append(None), signatures.append(None)
                     continue
                 signature = minima(shingles)
                 digests.append(xxhash.xxh3_128_digest(shingles.tobytes()))
-                bands.append(band_keys(signature))
+                keys.append(band_keys(signature))
+                bands.append(keys[-1].tobytes())
                 signatures.append(signature.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "bands", "signature"],
+                [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bands, pa.binary()), pa.array(signatures, pa.binary())],
+                names=["doc_id", "n_shingles", "digest", "keys", "bands", "signature"],
             )
 
 
@@ -105,22 +106,52 @@ def _confirmed(percent: int):
 
 
 def _agreeing(percent: int):
-    """Pairs of a block pair whose signatures agree and whose components differ."""
+    """Pairs whose signatures agree well enough to be worth confirming."""
+    least = (percent / 100 - SLACK) * BANDS * ROWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
+
+    return run
+
+
+def _linked(percent: int):
+    """Links between the members of a block pair that are in different components. Members that a link
+    has joined aren't compared again, and two that share several buckets meet in the one with the
+    smallest key."""
     least = (percent / 100 - SLACK) * BANDS * ROWS
 
     def run(key, left, right):
         import pandas as pd
 
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        x = np.frombuffer(b"".join(left["signature"]), np.uint8).reshape(len(left), -1)
-        y = np.frombuffer(b"".join(right["signature2"]), np.uint8).reshape(len(right), -1)
-        ida, idb = left["rep"].to_numpy(), right["rep2"].to_numpy()
-        ca, cb = left["component"].to_numpy(), right["component2"].to_numpy()
-        out = []
-        for k in range(len(x)):
-            hit = ((x[k] == y).sum(axis=1) >= least) & (cb != ca[k])
-            out += [(min(ida[k], o), max(ida[k], o)) for o in idb[hit]]
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            (x, kx), (y, ky) = (tuple(np.frombuffer(b"".join(df[c]), t).reshape(len(df), -1) for c, t in ((f"signature{n}", np.uint8), (f"bands{n}", np.int64))) for df, n in ((left, ""), (right, "2")))
+            ida, idb = left["rep"].to_numpy(), right["rep2"].to_numpy()
+            sa, sb = ([np.frombuffer(v, np.uint64) for v in df] for df in (left["shingles"], right["shingles2"]))
+            names, of = np.unique(np.concatenate((left["component"], right["component2"])), return_inverse=True)
+            root = np.arange(len(names))
+            ca, cb = of[: len(ida)], of[len(ida) :]
+            for k in range(len(x)):
+                near = np.flatnonzero(((x[k] == y).sum(axis=1) >= least) & (root[cb] != root[ca[k]]) & ((idb > ida[k]) | (key[1] != key[2])))
+                if not len(near):
+                    continue
+                first = np.where(kx[k] == ky[near], kx[k], np.iinfo(np.int64).max).min(axis=1) == key[0]
+                for o in near[first]:
+                    if root[cb[o]] == root[ca[k]]:
+                        continue
+                    small, big = sorted((len(sa[k]), len(sb[o])))
+                    if 100 * small < percent * big:
+                        continue
+                    both = np.concatenate((sa[k], sb[o]))
+                    both.sort()
+                    shared = int((both[1:] == both[:-1]).sum())
+                    if 100 * shared >= percent * (len(both) - shared):
+                        out.append((min(ida[k], idb[o]), max(ida[k], idb[o])))
+                        root[root == root[cb[o]]] = root[ca[k]]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
@@ -172,6 +203,9 @@ class _Links:
         with_a = pairs.join(self.sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a")
         both = with_a.join(self.sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
         found = C.stored(both.mapInArrow(_confirmed(self.percent), "a bigint, b bigint"))
+        self.add(found)
+
+    def add(self, found: DataFrame) -> None:
         if found.isEmpty():
             return
         self.edges = found if self.edges is None else self.edges.union(found)
@@ -191,7 +225,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     member = C.stored(named.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep").distinct())
     reps = named.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
-    keyed = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")).distinct()
+    keyed = reps.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key")).distinct()
     order = F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(order)["rep"].alias("pivot")).where("n > 1")
     shared = C.stored(keyed.join(buckets, "key"))
@@ -206,17 +240,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     grouped = C.stored(links.labelled(shared.select("key", "rep", "n"), "rep", "component"))
     mixed = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_ = grouped.join(mixed, "key").join(reps.select(F.col("doc_id").alias("rep"), "signature"), "rep")
-    small = open_.where(F.col("n") <= SMALL_BUCKET)
-    other = small.select("key", F.col("rep").alias("other"), F.col("component").alias("ocomponent"))
-    pairs = small.drop("signature", "n").join(other, "key").where("rep < other and component <> ocomponent").select(F.col("rep").alias("a"), F.col("other").alias("b"))
-    large = open_.where(F.col("n") > SMALL_BUCKET).withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    traits = reps.groupBy(F.col("doc_id").alias("rep")).agg(F.min(F.struct("digest", "signature", "bands")).alias("t")).select("rep", "t.signature", "t.bands")
+    open_ = grouped.join(mixed, "key").join(traits, "rep")
+    small = open_.where(F.col("n") <= SMALL_BUCKET).select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("signature").alias("sa"))
+    other = small.select("key", F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("sa").alias("sb"))
+    pairs = small.join(other, "key").where("a < b and ca <> cb").select("a", "b", "sa", "sb").mapInArrow(_agreeing(percent), "a bigint, b bigint").distinct()
+    links.confirm(pairs.join(pivots.select("a", "b"), ["a", "b"], "left_anti"))
+
+    large = open_.where(F.col("n") > SMALL_BUCKET).join(links.sets, "rep").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     dealt = large.withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    left = dealt.select("key", F.col("block").alias("i"), F.col("with").alias("j"), "rep", "component", "signature").where("i <= j")
-    right = dealt.select(F.col("key").alias("key2"), F.col("with").alias("i2"), F.col("block").alias("j2"), F.col("rep").alias("rep2"), F.col("component").alias("component2"), F.col("signature").alias("signature2")).where("i2 <= j2")
-    wide = left.groupBy("key", "i", "j").cogroup(right.groupBy("key2", "i2", "j2")).applyInPandas(_agreeing(percent), "a bigint, b bigint")
-    rest = pairs.union(wide).distinct().join(pivots.select("a", "b"), ["a", "b"], "left_anti")
-    links.confirm(rest)
+    held = ("rep", "component", "signature", "bands", "shingles")
+    left = dealt.select("key", F.col("block").alias("i"), F.col("with").alias("j"), *held).where("i <= j")
+    right = dealt.select(F.col("key").alias("key2"), F.col("with").alias("i2"), F.col("block").alias("j2"), *(F.col(c).alias(f"{c}2") for c in held)).where("i2 <= j2")
+    wide = left.groupBy("key", "i", "j").cogroup(right.groupBy("key2", "i2", "j2")).applyInPandas(_linked(percent), "a bigint, b bigint")
+    links.add(C.stored(wide.distinct()))
 
     # rows that repeat an id stand in several classes: those are linked through the id
     repeated = member.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
