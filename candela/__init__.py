@@ -1,0 +1 @@
+"""Bar-based time-series analytics on Spark DataFrames."""
