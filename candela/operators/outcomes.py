@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import times as T
 from . import segments
+from .chunks import runs
 
 HORIZON = 45
 MAGNITUDES = (1, 2, 4, 8, 16, 32)
@@ -112,12 +113,9 @@ def thinned(signals: DataFrame, keys: Sequence[str], cooldown_seconds: int, seed
         marked = marked.unionByName(seeds.select(*keys, "ts").withColumn("_seed", F.lit(True)), allowMissingColumns=True)
     at = T.epoch("ts")
     span = F.floor(at / (cooldown_seconds * 1024))
-    from .chunks import previous, running
-
     df = marked.withColumn("_at", at).withColumn("_order", F.struct("_at", ~F.col("_seed")))
-    df = previous(df, keys, "_order", span, ["_at"], "_p")
-    df = running(df, keys, "_order", span, sums={"_island": F.when(F.col("has_prev") & (F.col("_at") - F.col("_p_at") < cooldown_seconds), 0).otherwise(1)})
-    df = df.drop("_order", "has_prev", "_p_at")
+    df = runs(df, keys, "_order", span, ["_at"], lambda before, now: now("_at") - before("_at") >= cooldown_seconds)
+    df = df.withColumnRenamed("run", "_island").drop("_order", "position", "age")
     dealt = df.repartition(*keys, "_island").sortWithinPartitions(*keys, "_island", "_at", F.desc("_seed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

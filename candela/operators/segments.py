@@ -25,16 +25,15 @@ def segmented(bars: DataFrame, seconds: int = 60, breaks: tuple[str, ...] = (),
     Column ``unresolved_before`` of the input, the number of rows without a usable time ahead of a row
     in the source, ends one where it differs between neighbours (see ``count_unresolved``)."""
     watch = [c for c in (*breaks, "unresolved_before") if c in bars.columns]
-    df = chunks.previous(bars, ["instrument"], "ts", _chunk(seconds), ["ts", *watch])
-    gap = T.epoch("ts") - T.epoch("prev_ts") != seconds
-    for c in watch:
-        gap = gap | ~F.col(c).eqNullSafe(F.col(f"prev_{c}"))
-    df = df.withColumn("breaks", F.when(F.col("has_prev"), gap.cast("bigint")).otherwise(0))
-    df = chunks.running(df, ["instrument"], "ts", _chunk(seconds), sums={"segment_id": F.col("breaks"), "position": F.lit(1)})
-    start = F.when((F.col("breaks") == 1) | ~F.col("has_prev"), F.col("position"))
-    df = chunks.running(df, ["instrument"], "ts", _chunk(seconds), maxima={"start": start})
-    df = df.withColumn("segment_id", F.col("segment_id") + first).withColumn("age", F.col("position") - F.col("start"))
-    return df.withColumn("warmup_available", F.col("age") >= WARMUP).drop("start", "has_prev", "breaks", *(f"prev_{c}" for c in ("ts", *watch)))
+
+    def ends(before, now):
+        gap = T.epoch(now("ts")) - T.epoch(before("ts")) != seconds
+        for c in watch:
+            gap = gap | ~now(c).eqNullSafe(before(c))
+        return gap
+
+    df = chunks.runs(bars, ["instrument"], "ts", _chunk(seconds), ["ts", *watch], ends)
+    return df.withColumn("segment_id", F.col("run") + first).withColumn("warmup_available", F.col("age") >= WARMUP).drop("run")
 
 
 def count_unresolved(audit: DataFrame) -> DataFrame:

@@ -47,6 +47,9 @@ class Study:
     frame: DataFrame | None = None  # period_id, day, day_index
     kept: dict = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.bars = self.bars.persist()  # read by features, passages and every round
+
     def features(self) -> DataFrame:
         if "features" not in self.kept:
             self.kept["features"] = features.core(self.bars).persist()
@@ -199,10 +202,10 @@ def prepare_final(root: str | Path, state: tournament.Tournament, training: Data
 def score_period(bars: DataFrame, finalist: dict, cuts: Sequence[float], start=None, seeds: DataFrame | None = None, seconds: int = 60) -> tuple[DataFrame, DataFrame]:
     """Events (role, trading_date, stratum, code, first_touch_bars) of one finalist from ``start`` on, and its last
     kept signal by instrument. ``seeds``, the last kept of training, start the cooldown but aren't events."""
-    known = features.core(bars)
+    known = features.core(bars).persist()
     inside = known if start is None else known.where(F.col("ts") >= start)
     found = signatures.matched(inside, [{"id": finalist["signature_id"], "signature": finalist["signature"]}]).select("instrument", "ts")
-    held = outcomes.thinned(found, ["instrument"], outcomes.COOLDOWN_BARS * seconds, seeds)
+    held = outcomes.thinned(found, ["instrument"], outcomes.COOLDOWN_BARS * seconds, seeds).persist()
     label = estimates.stratum(F.col("ts"), F.col("atr14_fraction"), F.lit(cuts[0]), F.lit(cuts[1]))
     rows = inside.select("instrument", "ts", "trading_date", "valid", label.alias("stratum"))
     events = rows.join(held, ["instrument", "ts"]).withColumn("role", F.lit("candidate"))
@@ -247,6 +250,7 @@ def evaluate_final(root: str | Path, spark: SparkSession, training: DataFrame, h
     if finalists:
         marker = root / "history/heldout_access.json"
         marker.parent.mkdir(parents=True, exist_ok=True)
+        training = training.persist()
         fits = [score_period(training, f, provenance["baseline_cutpoints"], seconds=seconds) for f in finalists]
         described = [final_row(events, f, None, replicates) for (events, _), f in zip(fits, finalists)]
         with marker.open("x") as f:  # fails if the holdout was opened before
@@ -258,7 +262,7 @@ def evaluate_final(root: str | Path, spark: SparkSession, training: DataFrame, h
         ordinals = training.groupBy("instrument").agg(F.max("ts").alias("_last"))
         tail = training.join(ordinals, "instrument").where(T.epoch("_last") - T.epoch("ts") < features.WARMUP * seconds).drop("_last")
         columns = ["instrument", "ts", *io.VALUES, "trading_date"]
-        joined = segments.segmented(tail.select(*columns).unionByName(holdout.select(*columns)), seconds)
+        joined = segments.segmented(tail.select(*columns).unionByName(holdout.select(*columns)), seconds).persist()
         rows = [final_row(score_period(joined, f, provenance["baseline_cutpoints"], cutoff, last, seconds)[0], f, frame, replicates) for f, (_, last) in zip(finalists, fits)]
         names = [c.split()[0] for c in FINAL_SCHEMA.split(", ")]
         table = spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], FINAL_SCHEMA).fillna(1.0, ["p_value"])
