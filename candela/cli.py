@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import bootstrap, segments, splits, synthetic
+from .operators import bootstrap, features, segments, splits, synthetic
 from .plans import research, tournament
 from .sources import bars as io
 from .streaming import matcher
@@ -49,7 +49,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     make = commands.add_parser("generate")
     make.add_argument("profile", type=Path)
     make.add_argument("output")
-    for name, default in (("--sequences", 100), ("--bars", 1000), ("--seed", 10001)):
+    for name, default in (("--sequences", 100), ("--bars", 1000), ("--seed", 10001), ("--horizon", 10)):
         make.add_argument(name, type=int, default=default)
     args = parser.parse_args(argv)
     spark, root = spark or SparkSession.builder.getOrCreate(), args.root
@@ -95,9 +95,14 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         out = synthetic.profile(segments.segmented(io.read(spark, args.source)), io.file_sha256(args.source) if Path(args.source).is_file() else "")
         io.write_document(args.output, out)
     else:
-        rows = synthetic.dataset(spark, json.loads(args.profile.read_text()), args.sequences, args.bars, args.seed)
-        io.write(rows, args.output, "jsonl", ["split"])
-        out = {"output": args.output, "sequences": args.sequences, "bars": args.bars}
+        rows = synthetic.dataset(spark, json.loads(args.profile.read_text()), args.sequences, args.bars, args.seed).persist()
+        io.write(rows.drop("scenario", "seed"), f"{args.output}/bars", "jsonl", ["split"])
+        examples = features.simulated(segments.segmented(rows.drop("scenario", "seed")), args.horizon)
+        io.write(examples, f"{args.output}/examples", "jsonl", ["split"])
+        io.write(rows.select("instrument", "split", "seed", "scenario").distinct(), f"{args.output}/scenario_audit", "jsonl")
+        counts = synthetic.manifest(spark.read.json(f"{args.output}/examples")).orderBy("split", "action").collect()
+        out = {"schema_version": "nq-synthetic-dataset-v1", "synthetic": True, "seed": args.seed, "sequences": args.sequences, "bars_per_sequence": args.bars, "horizon_bars": args.horizon, "counts": [r.asDict() for r in counts]}
+        io.write_document(f"{args.output}/manifest.json", out)
     print(json.dumps(out, indent=2, default=str))
     return out
 

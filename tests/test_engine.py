@@ -541,7 +541,7 @@ def test_generated_bars_are_canonical_and_seeded(spark):
     assert df.count() == 2000
     assert quality.validated(df, 0.25).count() == 2000
     assert {r[0]: r[1] for r in df.groupBy("split").agg(F.count_distinct("instrument")).collect()} == {"train": 14, "validation": 3, "test": 3}
-    one = synthetic.path(PROFILE, 10003, 100, "range" if False else synthetic.SCENARIOS[2])
+    one = synthetic.path(PROFILE, 10003, 100, synthetic.SCENARIOS[2])
     got = np.array([tuple(r) for r in df.where("seed = 10003").orderBy("ts").select("open", "high", "low", "close", "volume").collect()])
     assert got.shape == one.shape and (one[1:, 0] == one[:-1, 3]).all()
     df.unpersist()
@@ -603,7 +603,9 @@ def test_commands(spark, tmp_path, capsys):
     assert {m["pattern_id"] for m in out} == {"a", "b"}
     (tmp_path / "profile.json").write_text(json.dumps(PROFILE))
     cli.main(["generate", str(tmp_path / "profile.json"), str(tmp_path / "data"), "--sequences", "20", "--bars", "100"], spark)
-    assert spark.read.json(str(tmp_path / "data")).groupBy("split").count().count() == 3
+    assert spark.read.json(str(tmp_path / "data/bars")).groupBy("split").count().count() == 3
+    doc = json.loads((tmp_path / "data/manifest.json").read_text())
+    assert sum(c["examples"] for c in doc["counts"]) == 20 * (100 - 60 - 10)
 
 
 def test_audit_command(spark, tmp_path):
