@@ -61,7 +61,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def read_jsonl_bars(spark: SparkSession, path: str) -> DataFrame:
     """Bars, one JSON object a line; lines that aren't one are kept in ``_corrupt_record``."""
     schema = "timestamp string, open double, high double, low double, close double, volume double, completed boolean, contract string, instrument string, _corrupt_record string"
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    own = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return spark.read.text(path).where("trim(value) <> ''").select(own.alias("bar")).select("bar.*")
 
 
 def read_vendor_csv(spark: SparkSession, path: str, zone: str = T.EASTERN, seconds: int = 60) -> tuple[DataFrame, DataFrame]:
