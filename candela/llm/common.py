@@ -33,6 +33,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Rows that go to a Python worker at once; texts can be long.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same frame; from here on its session sends at most BATCH_ROWS rows to a Python worker at once, so that
+    workers and Arrow buffers stay small however long texts are."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder and read it again."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)

@@ -196,7 +196,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null and empty pages give an empty text; rows that repeat are extracted each; pages without a host
     (null or relative url) share one; an empty table gives no rows; other columns are ignored."""
-    source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    source = C.small_batches(pages).select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}
     schema = f"row bigint, page_id {kinds['page_id']}, url {kinds['url']}, text string, blocks array<string>, marks array<struct<hash:bigint,first:int,last:int>>, main bigint"
     parsed = C.stored(source.mapInArrow(_parsed, schema))

@@ -61,17 +61,17 @@ def trigram_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     ids = letter_ids()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")]
     lengths = np.array([len(t or "") + 2 for t in texts])
     starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-    ids = np.concatenate(([0], ids, [0, 0]))  # a blank before and after
-    starts = starts + 0
+    blank = np.zeros(2, np.uint8)
+    ids = np.concatenate((blank[:1], ids, blank))  # a blank before and after
     keep = np.ones(len(ids), bool)
     keep[1:] = (ids[1:] != 0) | (ids[:-1] != 0)
     keep[starts] = True  # each text begins with a blank of its own
-    place = np.cumsum(keep)
+    place = np.cumsum(keep, dtype=np.int32 if len(ids) < 2**31 else np.int64)
     begins = place[starts] - 1
     ids = ids[keep].astype(np.int32)
     codes = (ids[:-2] << 14) | (ids[1:-1] << 7) | ids[2:]
     middle = ids[1:-1] != 0  # a trigram is centred on a letter
-    count = np.concatenate(([0], np.cumsum(middle)))
+    count = np.concatenate((np.zeros(1, np.int64), np.cumsum(middle)))
     bounds = count[np.minimum(np.concatenate((begins, [len(codes)])), len(codes))]
     return codes[middle], bounds, np.diff(bounds) > 0
 
@@ -89,8 +89,8 @@ def fit(documents: DataFrame, trained: Column, lang_col: str = "lang", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1000):
-                part = batch.slice(begin, 1000)
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
                 codes, bounds, _ = trigram_codes(C.texts(part, "text"))
                 names = np.array(part.column("lang").to_pylist(), object)
                 owner = np.repeat(np.arange(len(names)), np.diff(bounds))
@@ -102,7 +102,7 @@ def fit(documents: DataFrame, trained: Column, lang_col: str = "lang", text_col:
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["lang", "code", "n"])
 
-    rows = documents.where(trained & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = C.small_batches(documents).where(trained & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = rows.mapInArrow(run, "lang string, code int, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(set(counts["lang"]))
     if not languages:
@@ -154,14 +154,14 @@ def predict(documents: DataFrame, profiles: Profiles, text_col: str = "text") ->
     if "__text" in documents.columns:
         raise ValueError("__text is reserved")
     rest = [c for c in documents.columns if c not in ("lang_pred", "score")]
-    source = documents.select(*rest, F.col(text_col).alias("__text"))
+    source = C.small_batches(documents).select(*rest, F.col(text_col).alias("__text"))
     keep = documents.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Identifier(keep.value)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1000):
-                part = batch.slice(begin, 1000)
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
                 texts = C.texts(part, "__text")
                 names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 if own.profiles.languages:

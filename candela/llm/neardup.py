@@ -28,6 +28,8 @@ from . import common as C
 
 BANDS, ROWS = 25, 5
 SMALL_BUCKET = 24
+#: Classes of so many documents, and of so many that there can be only HOT_CLASSES of them, are broadcast.
+HOT_CLASS, HOT_CLASSES = 1_000, 10_000
 BLOCK = 512
 #: A pair whose signatures agree on less than threshold - SLACK isn't confirmed: over four standard errors.
 SLACK = 0.16
@@ -219,11 +221,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shingles and no links; texts of under five words are one shingle; equal texts always share a
     component; rows that repeat an id share that id's component; rows without an id get no component
     but their own null; an empty table gives no rows; other columns are ignored."""
-    source = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    source = C.small_batches(df).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = C.stored(source.mapInArrow(_sketches, SKETCH))
     named = sketch.where("doc_id is not null and digest is not null")
-    classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = C.stored(named.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep").distinct())
+    classes = C.stored(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    often = max(HOT_CLASS, sketch.count() // HOT_CLASSES)  # so at most HOT_CLASSES classes are as large and travel to their members
+    hot = F.broadcast(classes.where(F.col("n") >= often).select("digest", F.col("rep").alias("hot_rep")))
+    tagged = named.select("doc_id", "digest").join(hot, "digest", "left")
+    others = tagged.where("hot_rep is null").join(classes.where(F.col("n") < often), "digest").select("doc_id", "rep")
+    member = C.stored(tagged.where("hot_rep is not null").select("doc_id", F.col("hot_rep").alias("rep")).unionByName(others).distinct())
     reps = named.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
     keyed = reps.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key")).distinct()
     order = F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep"))

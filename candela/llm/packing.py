@@ -24,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 POOL = 768
 END = np.array([1], "<u4").tobytes()
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, loss_tokens bigint, sequence_id bigint, offset bigint"
@@ -273,7 +275,7 @@ def pack_examples(df: DataFrame, id_col: str = "doc_id", segments_col: str = "se
         first = TaskContext.get().partitionId() << 36
         yield from _written(packed(examples(), limits, first, with_ids), with_ids)
 
-    return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(segments_col).alias("segments")).mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
+    return C.small_batches(df).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(segments_col).alias("segments")).mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
 
 
 def conversation_examples(df: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, sample:
     the largest counts; rows with a null label or id are left out."""
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (C.crc_mod(F.col("doc_id"), divisor) != 0))
     chosen = own.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return C.small_batches(documents).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Trees:
@@ -154,7 +154,7 @@ def score(documents: DataFrame, model: Trees, threshold: float = 0.3, text_col:
     if "__text" in documents.columns:
         raise ValueError("__text is reserved")
     rest = [c for c in documents.columns if c not in ("score", "predicted")]
-    source = documents.select(*rest, F.col(text_col).alias("__text"))
+    source = C.small_batches(documents).select(*rest, F.col(text_col).alias("__text"))
     keep = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

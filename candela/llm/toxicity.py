@@ -266,7 +266,7 @@ def score(documents: DataFrame, grammar: Grammar, threshold: float = 0.5, text_c
     if "__text" in documents.columns:
         raise ValueError("__text is reserved")
     rest = [c for c in documents.columns if c not in ("score", "predicted")]
-    source = documents.select(*rest, F.col(text_col).alias("__text"))
+    source = C.small_batches(documents).select(*rest, F.col(text_col).alias("__text"))
     keep = documents.sparkSession.sparkContext.broadcast(grammar)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -203,7 +203,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, html, digest and refers_to: the smallest page id with an equal payload of at least
     MIN_REVISIT bytes, where that isn't the row's own."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("bytes"))
+    own = C.small_batches(pages).select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("bytes"))
     again = C.stored(own.where(F.col("bytes") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first"))
     if again.count() <= BROADCAST_ROWS:
         again = F.broadcast(again)

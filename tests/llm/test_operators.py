@@ -134,6 +134,7 @@ def variants(rng, base, n, most):
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(neardup, "SMALL_BUCKET", small)
     monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "HOT_CLASS", 2 if small == 2 else 1_000)
     rng = random.Random(5)
     many = variants(rng, text(rng, 150), 60, 8)
     rows = [*ODD, *LONG, *((100 + k, t) for k, t in enumerate(many)), *((300 + k, text(rng, 80)) for k in range(20)), (400, many[0].upper()), (401, text(rng, 3)), (402, "one")]
