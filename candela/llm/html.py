@@ -1,10 +1,10 @@
 """Main text of web pages by removal of site templates.
 
-Every page is parsed once. Elements that are furniture by their tag, role or class go. If the page marks
-its article, that is the text. Otherwise every element's subtree is hashed (tag, class, text and
+Every page is parsed once. Elements that are furniture by their tag, role or class go, and if the page marks
+its article, all outside it. On every page each element's subtree is hashed (tag, class, text and
 children), Spark counts for each host on how many pages with different main blocks a subtree stands,
-and those on many of them, the site's template, are deleted. The largest block of a page is never
-taken for template, so copies of a page keep their text.
+and those on many of them, the site's template, are deleted, inside a marked article too. The largest block
+of a page is never taken for template, so copies of a page keep their text.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -81,15 +82,15 @@ class Page:
             if text:
                 self.blocks.append(text)
                 self.own.append(bool(self._stack) and self._stack[-1][2])
-                if self._stack and not self._stack[-1][2]:
+                if self._stack:
                     self._stack[-1][5].append(text.encode("utf-8", "surrogatepass"))
 
     def _close(self) -> None:
-        tag, dropped, inside, first, attributes, parts = self._stack[-1]
+        tag, dropped, _, first, attributes, parts = self._stack[-1]
         if tag not in INLINE:
             self._flush()
         self._stack.pop()
-        if not inside and not dropped and parts:
+        if not dropped and parts:
             digest = xxhash.xxh3_64_digest(tag.encode() + b"\0" + attributes.encode("utf-8", "surrogatepass") + b"\0" + b"\1".join(parts))
             if tag in INLINE:
                 if self._stack:
@@ -156,15 +157,26 @@ class Page:
 
 
 def article(html: str | None) -> tuple[str | None, list[str], list[tuple[int, int, int]]]:
-    """The text if the page marks its article or holds nothing else; otherwise None, the blocks and the
-    subtrees (hash, first, end) that may be template."""
+    """The text ahead of template removal if the page marks its article or holds nothing, otherwise None; the blocks
+    (of a marked article only its own) and the subtrees (hash, first, end) that may be template."""
     page = Page(html or "")
+    blocks, marks = page.blocks, page.marks
     if page.article:
-        return " ".join(b for b, own in zip(page.blocks, page.own) if own), [], []
-    if not page.blocks:
+        blocks = [b for b, own in zip(page.blocks, page.own) if own]
+        place = [*accumulate(map(int, page.own), initial=0)]
+        marks = [(h, place[a], place[z]) for h, a, z in marks]
+    if not blocks:
         return "", [], []
-    largest = max(range(len(page.blocks)), key=lambda k: (len(page.blocks[k]), -k))
-    return None, page.blocks, [m for m in page.marks if not m[1] <= largest < m[2] and m[1] < m[2]]
+    largest = _largest(blocks)
+    return " ".join(blocks) if page.article else None, blocks, [m for m in marks if not m[1] <= largest < m[2]]
+
+
+def _largest(blocks: list[str]) -> int:
+    return max(range(len(blocks)), key=lambda k: (len(blocks[k]), -k))
+
+
+def _digest(text: str) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(text.encode("utf-8", "surrogatepass")), "little", signed=True)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,18 +188,16 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = [article(h) for h in C.texts(part, "html")]
             rows = range(row, row + len(found))
             row += len(found)
-            digests = [int.from_bytes(xxhash.xxh3_64_digest(max(b, key=len).encode("utf-8", "surrogatepass")), "little", signed=True) if b else None for _, b, _ in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(rows, pa.int64()),
                     part.column("page_id"),
                     part.column("url"),
-                    pa.array([t for t, _, _ in found], pa.string()),
-                    pa.array([b if t is None else None for t, b, _ in found], pa.list_(pa.string())),
+                    pa.array([b for _, b, _ in found], pa.list_(pa.string())),
                     pa.array([[{"hash": h, "first": a, "last": z} for h, a, z in m] for _, _, m in found], pa.list_(mark)),
-                    pa.array(digests, pa.int64()),
+                    pa.array([_digest(b[_largest(b)]) if b else None for _, b, _ in found], pa.int64()),
                 ],
-                names=["row", "page_id", "url", "text", "blocks", "marks", "main"],
+                names=["row", "page_id", "url", "blocks", "marks", "main"],
             )
 
 
@@ -198,16 +208,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     (null or relative url) share one; an empty table gives no rows; other columns are ignored."""
     source = C.small_batches(pages).select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}
-    schema = f"row bigint, page_id {kinds['page_id']}, url {kinds['url']}, text string, blocks array<string>, marks array<struct<hash:bigint,first:int,last:int>>, main bigint"
+    schema = f"row bigint, page_id {kinds['page_id']}, url {kinds['url']}, blocks array<string>, marks array<struct<hash:bigint,first:int,last:int>>, main bigint"
     parsed = C.stored(source.mapInArrow(_parsed, schema))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    open_ = parsed.where("text is null").withColumn("host", host)
-    done = parsed.where("text is not null").select("page_id", "url", "text")
-    sizes = open_.groupBy("host", "main").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("pages"))
-    marks = open_.select("row", "host", "main", F.explode("marks").alias("m")).select("row", "host", "main", "m.hash", "m.first", "m.last")
+    parsed = parsed.withColumn("host", host)
+    sizes = parsed.where("main is not null").groupBy("host", "main").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("pages"))
+    marks = parsed.select("row", "host", "main", F.explode("marks").alias("m")).select("row", "host", "main", "m.hash", "m.first", "m.last")
     counts = marks.groupBy("host", "hash", "main").agg(F.lit(1)).groupBy("host", "hash").agg(F.count("*").alias("n"))
     template = counts.where(F.col("n") >= MIN_PAGES).join(sizes, "host").where(F.col("n") >= F.lit(MIN_SHARE) * F.col("pages")).select("host", "hash")
     gone = marks.join(template, ["host", "hash"]).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
     left = F.expr("array_join(filter(blocks, (b, i) -> gone is null or not exists(gone, g -> g.first <= i and i < g.last)), ' ')")
-    rest = open_.join(gone, "row", "left").select("page_id", "url", left.alias("text"))
-    return done.unionByName(rest).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    return parsed.join(gone, "row", "left").select("page_id", "url", left.alias("text")).withColumn("n_chars", F.char_length("text").cast("bigint"))

@@ -270,6 +270,17 @@ def test_templates_recur_on_a_host(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_templates_recur_inside_marked_articles(spark):
+    """What recurs on a host goes from a marked article too, whatever its class."""
+
+    def page(k):
+        return f"<body><p>Outside</p><article><div class=hint><p>Read our offers of the week</p></div><p>{f'words of page {k} ' * 8}</p><p>Same for {k % 4}</p></article></body>"
+
+    df = spark.createDataFrame([(k, "http://a.example/x", page(k)) for k in range(12)] + [(50, "http://b.example/x", page(50))], "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert got == {k: f"{f'words of page {k} ' * 8}Same for {k % 4}" for k in range(12)} | {50: f"Read our offers of the week {'words of page 50 ' * 8}Same for 2"}
+
+
 # warc ------------------------------------------------------------------------------------------------------------------
 
 
