@@ -2,9 +2,10 @@
 
 Every page is parsed once. Elements that are furniture by their tag, role or class go, and if the page marks
 its article, all outside it. On every page each element's subtree is hashed (tag, class, text and
-children), Spark counts for each host on how many pages with different main blocks a subtree stands,
-and those on many of them, the site's template, are deleted, inside a marked article too. The largest block
-of a page is never taken for template, so copies of a page keep their text.
+children), Spark counts for each host on how many different pages a subtree stands, and those on
+MIN_PAGES or more, the site's template, are deleted, inside a marked article too. Pages are different by the
+largest block outside the subtree, so a long notice counts on every page while what only copies of a page
+share counts once, and copies keep their text. Where all would go, the largest block stays.
 """
 
 from __future__ import annotations
@@ -22,9 +23,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: A subtree is template if it stands on so many pages of a host, and on this share of them.
+#: A subtree is template if it stands on so many different pages of a host, however large that is.
 MIN_PAGES = 5
-MIN_SHARE = 0.2
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -167,21 +167,32 @@ def article(html: str | None) -> tuple[str | None, list[str], list[tuple[int, in
         marks = [(h, place[a], place[z]) for h, a, z in marks]
     if not blocks:
         return "", [], []
-    largest = _largest(blocks)
-    return " ".join(blocks) if page.article else None, blocks, [m for m in marks if not m[1] <= largest < m[2]]
+    return " ".join(blocks) if page.article else None, blocks, marks
 
 
 def _largest(blocks: list[str]) -> int:
     return max(range(len(blocks)), key=lambda k: (len(blocks[k]), -k))
 
 
-def _digest(text: str) -> int:
-    return int.from_bytes(xxhash.xxh3_64_digest(text.encode("utf-8", "surrogatepass")), "little", signed=True)
+def _beside(blocks: list[str], marks: list[tuple[int, int, int]]) -> list[int | None]:
+    """For each subtree the hash of the largest block outside it; None if it holds all blocks."""
+    order = [(-len(b), k) for k, b in enumerate(blocks)]
+    before = [None, *accumulate(order, min)]
+    after = [*accumulate(reversed(order), min)][::-1] + [None]
+    digests: dict[int, int] = {}
+
+    def digest(k: int) -> int:
+        if k not in digests:
+            digests[k] = int.from_bytes(xxhash.xxh3_64_digest(blocks[k].encode("utf-8", "surrogatepass")), "little", signed=True)
+        return digests[k]
+
+    beside = (min(filter(None, (before[a], after[z])), default=None) for _, a, z in marks)
+    return [digest(x[1]) if x else None for x in beside]
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 36
-    mark = pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+    mark = pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("main", pa.int64())])
     for batch in batches:
         for begin in range(0, batch.num_rows, 500):
             part = batch.slice(begin, 500)
@@ -194,10 +205,10 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     part.column("page_id"),
                     part.column("url"),
                     pa.array([b for _, b, _ in found], pa.list_(pa.string())),
-                    pa.array([[{"hash": h, "first": a, "last": z} for h, a, z in m] for _, _, m in found], pa.list_(mark)),
-                    pa.array([_digest(b[_largest(b)]) if b else None for _, b, _ in found], pa.int64()),
+                    pa.array([[{"hash": h, "first": a, "last": z, "main": d} for (h, a, z), d in zip(m, _beside(b, m))] for _, b, m in found], pa.list_(mark)),
+                    pa.array([_largest(b) if b else None for _, b, _ in found], pa.int32()),
                 ],
-                names=["row", "page_id", "url", "blocks", "marks", "main"],
+                names=["row", "page_id", "url", "blocks", "marks", "largest"],
             )
 
 
@@ -208,14 +219,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     (null or relative url) share one; an empty table gives no rows; other columns are ignored."""
     source = C.small_batches(pages).select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}
-    schema = f"row bigint, page_id {kinds['page_id']}, url {kinds['url']}, blocks array<string>, marks array<struct<hash:bigint,first:int,last:int>>, main bigint"
+    schema = f"row bigint, page_id {kinds['page_id']}, url {kinds['url']}, blocks array<string>, marks array<struct<hash:bigint,first:int,last:int,main:bigint>>, largest int"
     parsed = C.stored(source.mapInArrow(_parsed, schema))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     parsed = parsed.withColumn("host", host)
-    sizes = parsed.where("main is not null").groupBy("host", "main").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("pages"))
-    marks = parsed.select("row", "host", "main", F.explode("marks").alias("m")).select("row", "host", "main", "m.hash", "m.first", "m.last")
-    counts = marks.groupBy("host", "hash", "main").agg(F.lit(1)).groupBy("host", "hash").agg(F.count("*").alias("n"))
-    template = counts.where(F.col("n") >= MIN_PAGES).join(sizes, "host").where(F.col("n") >= F.lit(MIN_SHARE) * F.col("pages")).select("host", "hash")
+    marks = parsed.select("row", "host", F.explode("marks").alias("m")).select("row", "host", "m.hash", "m.first", "m.last", "m.main")
+    counts = marks.where("main is not null").groupBy("host", "hash", "main").agg(F.lit(1)).groupBy("host", "hash").agg(F.count("*").alias("n"))
+    template = counts.where(F.col("n") >= MIN_PAGES).select("host", "hash")
     gone = marks.join(template, ["host", "hash"]).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
-    left = F.expr("array_join(filter(blocks, (b, i) -> gone is null or not exists(gone, g -> g.first <= i and i < g.last)), ' ')")
-    return parsed.join(gone, "row", "left").select("page_id", "url", left.alias("text")).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    left = F.expr("filter(blocks, (b, i) -> gone is null or not exists(gone, g -> g.first <= i and i < g.last))")
+    text = F.expr("case when size(kept) = 0 and largest is not null then blocks[largest] else array_join(kept, ' ') end")
+    return parsed.join(gone, "row", "left").withColumn("kept", left).select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("bigint"))
