@@ -27,7 +27,8 @@ from . import common as C
 MIN_PAGES = 5
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>][^\s>]*)))?""")
+TOLD = frozenset("class id role hidden aria-hidden".split())
 SPLIT = re.compile(r"[^a-z]+")
 BLANK = re.compile(r"\s+")
 # fixed values: elements of HTML
@@ -45,19 +46,23 @@ NAMES = frozenset(
 OWN = frozenset("article post entry content story main body text".split())
 
 
-def _furniture(tag: str, attributes: str, inside: bool) -> bool:
+def _told(attributes: str) -> dict[str, str]:
+    """Values of the attributes that matter, in lower case; of one that repeats the first counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attributes):
+        if (name := m[1].lower()) in TOLD:
+            out.setdefault(name, (m[2] or m[3] or m[4] or "").lower())
+    return out
+
+
+def _furniture(tag: str, told: dict[str, str], inside: bool) -> bool:
     if tag in FURNITURE and not (tag == "header" and inside):
         return True
-    if not attributes:
-        return False
-    for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id"):
-            words = {w for w in SPLIT.split(value) if w}
+    if "hidden" in told or told.get("aria-hidden") == "true" or told.get("role") in ROLES:
+        return True
+    for name in ("class", "id"):
+        if name in told:
+            words = {w for w in SPLIT.split(told[name]) if w}
             if words & NAMES and not (words & OWN and not words & {"comment", "comments", "ad", "ads", "advert", "sidebar", "footer", "nav", "menu"}):
                 return True
     return False
@@ -141,13 +146,14 @@ class Page:
             if tag not in INLINE:
                 self._flush()
             dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            told = _told(attributes) if attributes else {}
             if not dropped and tag != "body" and tag != "html":
-                dropped = _furniture(tag, attributes, inside)
-            if not dropped and (tag in ("article", "main") or "role" in attributes and re.search(r"""role\s*=\s*["']?main\b""", attributes)):
+                dropped = _furniture(tag, told, inside)
+            if not dropped and (tag in ("article", "main") or told.get("role", "").split()[:1] == ["main"]):
                 inside = self.article = True
             if attributes.endswith("/") and tag not in INLINE:
                 continue
-            stack.append((tag, dropped, inside, len(self.blocks), " ".join(sorted(x[0].strip() for x in ATTRIBUTE.finditer(attributes))) if attributes else "", []))
+            stack.append((tag, dropped, inside, len(self.blocks), " ".join(f"{k}={v}" for k, v in sorted(told.items())), []))
         if at < len(html) and not (stack and stack[-1][1]):
             rest = html[at:]
             self._text.append(rest[: rest.find("<")] if re.search(r"<[a-zA-Z/!][^>]*\Z", rest) else rest)

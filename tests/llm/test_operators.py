@@ -297,6 +297,15 @@ def test_templates_of_large_hosts_and_long_notices(spark):
     assert all(got[200 + k] == f"{k}" for k in range(6))
 
 
+def test_only_real_attributes_drop_text():
+    kept = """<article style="overflow:hidden" data-role=banner data-id='nav'><p title="The hidden cost">One <a href="/hidden-valley">two</a> <a href=/x/hidden title=it's>three</a></p><p data-hidden title="no end hidden>four</p></article>"""
+    assert html.article(kept)[0] == "One two three four"
+    gone = """<article><p>One</p><p hidden>a</p><p title="x"hidden>b</p><p HIDDEN=''>c</p><p aria-hidden = "true">d</p><div role='banner'>e</div><div data-x="y" class=nav>f</div></article>"""
+    assert html.article(gone)[0] == "One"
+    assert html.article('<div data-role="main"><p>in</p></div><p>out</p>')[0] is None
+    assert html.article('<div role="main"><p>in</p></div><p>out</p>')[0] == "in"
+
+
 # warc ------------------------------------------------------------------------------------------------------------------
 
 
