@@ -15,9 +15,11 @@ from collections.abc import Iterator
 from html import unescape
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from . import common as C
 
 #: A subtree is template if it stands on so many different pages of a host, however large that is.
 MIN_PAGES = 5
+#: The template is broadcast up to this many subtrees, else joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>][^\s>]*)))?""")
@@ -218,6 +222,28 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _without(template: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = frozenset()
+        for batch in batches:
+            marks = batch.column("marks")
+            flat = marks.flatten()
+            hashes, first, last = (flat.field(k).to_pylist() for k in ("hash", "first", "last"))
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(marks), 0).to_numpy(zero_copy_only=False)).tolist()
+            texts, at = [], 0
+            for host, blocks, largest, end in zip(batch.column("host").to_pylist(), batch.column("blocks").to_pylist(), batch.column("largest").to_pylist(), ends):
+                own = template.value.get(host, none)
+                gone = {b for k in range(at, end) if hashes[k] in own for b in range(first[k], last[k])}
+                at = end
+                if blocks and len(gone) == len(blocks):
+                    texts.append(blocks[largest])
+                else:
+                    texts.append(" ".join(b for k, b in enumerate(blocks) if k not in gone))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    return run
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row.
 
@@ -231,8 +257,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     parsed = parsed.withColumn("host", host)
     marks = parsed.select("row", "host", F.explode("marks").alias("m")).select("row", "host", "m.hash", "m.first", "m.last", "m.main")
     counts = marks.where("main is not null").groupBy("host", "hash", "main").agg(F.lit(1)).groupBy("host", "hash").agg(F.count("*").alias("n"))
-    template = counts.where(F.col("n") >= MIN_PAGES).select("host", "hash")
+    template = C.stored(counts.where(F.col("n") >= MIN_PAGES).select("host", "hash"))
+    with_length = lambda df: df.withColumn("n_chars", F.char_length("text").cast("bigint"))
+    if template.count() <= BROADCAST_ROWS:
+        known = {r["host"]: frozenset(r["hashes"]) for r in template.groupBy("host").agg(F.collect_list("hash").alias("hashes")).collect()}
+        kept = _without(pages.sparkSession.sparkContext.broadcast(known))
+        return with_length(parsed.select("page_id", "url", "host", "blocks", "marks", "largest").mapInArrow(kept, f"page_id {kinds['page_id']}, url {kinds['url']}, text string"))
     gone = marks.join(template, ["host", "hash"]).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
     left = F.expr("filter(blocks, (b, i) -> gone is null or not exists(gone, g -> g.first <= i and i < g.last))")
     text = F.expr("case when size(kept) = 0 and largest is not null then blocks[largest] else array_join(kept, ' ') end")
-    return parsed.join(gone, "row", "left").withColumn("kept", left).select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    return with_length(parsed.join(gone, "row", "left").withColumn("kept", left).select("page_id", "url", text.alias("text")))

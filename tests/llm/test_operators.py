@@ -281,20 +281,24 @@ def test_templates_recur_inside_marked_articles(spark):
     assert got == {k: f"{f'words of page {k} ' * 8}Same for {k % 4}" for k in range(12)} | {50: f"Read our offers of the week {'words of page 50 ' * 8}Same for 2"}
 
 
-def test_templates_of_large_hosts_and_long_notices(spark):
+@pytest.mark.parametrize("broadcast", [200_000, -1])
+def test_templates_of_large_hosts_and_long_notices(spark, monkeypatch, broadcast):
     """Neither the size of a host nor the length of a notice saves a template; copies keep their text."""
+    monkeypatch.setattr(html, "BROADCAST_ROWS", broadcast)
 
     def page(advert, body):
         return f"<body><p>Our offer {advert}</p><p>{body}</p></body>"
 
     rows = [(k, "http://a.example/x", page(k % 8, f"a longer body of number {k}")) for k in range(48)]
     rows += [(100 + k, "http://b.example/x", page(0, "copied body " * 20)) for k in range(12)]
+    rows += [(300, "http://a.example/x", "<body><p>Our offer 1</p></body>"), (301, None, None)]
     rows += [(200 + k, "http://c.example/x", f"<body><div>{'Only this. ' * 9}</div><p>{k}</p></body>") for k in range(6)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
     assert all(got[k] == f"a longer body of number {k}" for k in range(48))
     assert all("copied body" in got[100 + k] for k in range(12))
     assert all(got[200 + k] == f"{k}" for k in range(6))
+    assert got[300] == "Our offer 1" and got[301] == ""
 
 
 def test_only_real_attributes_drop_text():
