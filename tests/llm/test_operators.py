@@ -461,6 +461,17 @@ def test_language_model_beats_the_base_and_needs_no_rows(spark):
     assert alone[0]["n_known"] == 0 and alone[0]["base_score"] == 0
 
 
+def test_every_word_of_training_has_its_share(spark, monkeypatch):
+    """Scores don't depend on how many words are broadcast."""
+    rng = random.Random(12)
+    rows = [(k, text(rng, 60) + f" once{k} twice{k % 40}") for k in range(80)] + [(900 + k, f"twice{k} " * 3) for k in range(30)]
+    got = []
+    for head in (250_000, 10, 0):
+        monkeypatch.setattr(lmscore, "HEAD", head)
+        got.append({r["doc_id"]: r["score"] for r in scored_rows(spark, rows)})
+    assert all(math.isclose(got[0][k], g[k], rel_tol=1e-3) for g in got[1:] for k in got[0])
+
+
 def test_gate_is_a_mixture():
     whole, spelt = np.array([-1.0, np.nan, -2.0, -1.0]), np.array([-3.0, -2.0, -2.0, -9.0])
     got = lmscore.gated(whole, spelt, np.array([3, 1]), 0.0)
