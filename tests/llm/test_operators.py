@@ -472,6 +472,25 @@ def test_every_word_of_training_has_its_share(spark, monkeypatch):
     assert all(math.isclose(got[0][k], g[k], rel_tol=1e-3) for g in got[1:] for k in got[0])
 
 
+def test_texts_of_the_mixer_count_too(spark, monkeypatch):
+    """The mixer learns from all words set apart, and the tables then hold these as well."""
+    rng, seen = random.Random(13), []
+    df = docs(spark, [(k, text(rng, 50) + f" own{k}") for k in range(60)])
+    own = lmscore._learned
+    monkeypatch.setattr(lmscore, "_learned", lambda rows, *rest: (seen.append(rows), own(rows, *rest)))
+    monkeypatch.setattr(lmscore, "TUNE_ROWS", 50)
+    made = {}
+    for texts in (1, 10**9):
+        monkeypatch.setattr(lmscore, "TUNE_TEXTS", texts)
+        counts = lmscore.count(df, F.lit(True))
+        seen.clear()
+        made[texts] = lmscore.fit(counts).tables
+        rows = [r for part in seen for r in part]
+        assert len(rows) == len(set(rows)) == counts.table.where("kind < 2 and tune > 0").count()
+        assert texts > 1 or len(rows) > 150 and max(map(len, seen)) <= 50
+    assert made[1].tables.any() and (made[1].tables == made[10**9].tables).all() and (made[1].levels == made[10**9].levels).all()
+
+
 def test_gate_is_a_mixture():
     whole, spelt = np.array([-1.0, np.nan, -2.0, -1.0]), np.array([-3.0, -2.0, -2.0, -9.0])
     got = lmscore.gated(whole, spelt, np.array([3, 1]), 0.0)
