@@ -261,6 +261,13 @@ def c04(spark, sf):
     return calendar.missing_intervals(calendar.missing(own, calendar.daily_schedule(own, 0, 86400), 7200), 7200).select("start", "end", "bars")
 
 
+@query("c04_missing_intervals_whole")
+def c04_whole(spark, sf):
+    """Of all event types."""
+    own = bars2h(spark, sf)
+    return calendar.missing_intervals(calendar.missing(own, calendar.daily_schedule(own, 0, 86400), 7200), 7200).select("instrument", "start", "end", "bars")
+
+
 @query("c05_missing_sessions", f"{SQL_DAYS} SELECT d AS session_date FROM days WHERE d NOT IN (SELECT session_date FROM expected JOIN bars USING (ts) WHERE dayofmonth(session_date) % 3 = 0)")
 def c05(spark, sf):
     own = bars30(spark, sf).where(F.dayofmonth("ts") % 3 == 0)
@@ -498,8 +505,18 @@ TEACHER_SQL = "teacher AS (SELECT event_id AS trade_number, time_bucket(INTERVAL
 
 @query("o11_teacher_join", f"{WITH30}, {TEACHER_SQL}, one AS (SELECT t, max(trade_number) AS trade_number, arg_max(teacher_direction, trade_number) AS teacher_direction, arg_max(entry_price, trade_number) AS entry_price FROM teacher GROUP BY t) SELECT ts, coalesce(teacher_direction, 0) AS teacher_direction, {r6('entry_price')} AS entry_price, trade_number FROM cut LEFT JOIN one ON ts = t")
 def o11(spark, sf):
+    return teacher_joined(spark, sf, events(spark, sf).where("event_id % 50 = 0"))
+
+
+@query("o11_teacher_join_whole")
+def o11_whole(spark, sf):
+    """Every event is a trade."""
+    return teacher_joined(spark, sf, events(spark, sf))
+
+
+def teacher_joined(spark: SparkSession, sf: str, traded: DataFrame) -> DataFrame:
     slot = F.window("ts", f"{STEP} seconds")["start"]
-    own = events(spark, sf).where("event_id % 50 = 0").groupBy(slot.alias("t")).agg(F.max("event_id").alias("trade_number"), F.max_by("value", "event_id").alias("entry_price"))
+    own = traded.groupBy(slot.alias("t")).agg(F.max("event_id").alias("trade_number"), F.max_by("value", "event_id").alias("entry_price"))
     text = F.date_format(T.local(F.col("t")), "yyyy-MM-dd HH:mm:ss")
     teacher = own.select("trade_number", "entry_price", text.alias("entry_time_display_no_timezone"), F.when(F.col("trade_number") % 2 == 0, "Long").otherwise("short").alias("direction"))
     return rounded(outcomes.teacher_labels(cut30(spark, sf), teacher).select("ts", "teacher_direction", "entry_price", "trade_number"), "entry_price")
@@ -644,6 +661,13 @@ def a13(spark, sf):
     return spark.createDataFrame([(b["block_length"], b["status"], b["p_value"], *(b["lift_confidence_interval"] or (None, None))) for b in out["block_results"]], "block_length int, status string, p_value double, lift_low double, lift_high double")
 
 
+@query("a14_holm_whole")
+def a14_whole(spark, sf):
+    """Over all parts."""
+    rows = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 37 % 101 / 2000.0).alias("p"))
+    return rounded(bootstrap.holm(rows, "p", ["id"], adjusted="adjusted"), "adjusted", digits=9).select("id", "adjusted")
+
+
 @query("a14_holm", "WITH p AS (SELECT p_partkey AS id, (p_size * 37 % 101) / 2000.0 AS p FROM part WHERE p_size <= 12), k AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS n FROM p) SELECT id, round(least(1.0, max(p * (n - k + 1)) OVER (ORDER BY k)), 9) AS adjusted FROM k")
 def a14(spark, sf):
     rows = spark.read.parquet(f"{sf}/part.parquet").where("p_size <= 12").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 37 % 101 / 2000.0).alias("p"))
@@ -702,6 +726,12 @@ def k09(spark, sf):
     return rounded(gates.confirmed(rows, True).select("pattern_id", "adjusted_p_value", "verdict"), "adjusted_p_value", digits=9)
 
 
+@query("k09_confirmation_whole")
+def k09_whole(spark, sf):
+    """Adjusted over the whole family."""
+    return rounded(gates.confirmed(hypotheses(spark, sf), True).select("pattern_id", "adjusted_p_value", "verdict"), "adjusted_p_value", digits=9)
+
+
 @query("k15_status_counts", f"WITH {SQL_HYP} SELECT family, CASE WHEN k % 5 = 0 THEN 'inference_failed' ELSE 'ok' END AS status, count(*) AS rows FROM h GROUP BY 1, 2")
 def k15(spark, sf):
     return gates.status_counts(hypotheses(spark, sf), ["family"])

@@ -364,6 +364,25 @@ def test_holm(spark):
 HYPOTHESIS = "pattern_id string, signature_id string, family string, sample_size long, conservative_lift double, mean_favorable_resolution double, lift_low double, screen_reasons array<string>"
 
 
+def test_whole_tables_are_registered(spark):
+    from candela import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    run = lambda name: Q.QUERIES[name](spark, sf).collect()
+    p = sorted((r["p_size"] * 37 % 101 / 2000.0, r["p_partkey"]) for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_size").collect())
+    want, worst = {}, 0.0
+    for k, (chance, i) in enumerate(p):
+        worst = max(worst, chance * (len(p) - k))
+        want[i] = round(min(1.0, worst), 9)
+    assert {r["id"]: r["adjusted"] for r in run("a14_holm_whole")} == pytest.approx(want)
+    assert len(run("k09_confirmation_whole")) == spark.read.parquet(f"{sf}/orders.parquet").count()
+    kinds = {r[0] for r in Q.events(spark, sf).select("event_type").distinct().collect()}
+    gaps = run("c04_missing_intervals_whole")
+    assert len(kinds) == 5 and {r["instrument"] for r in gaps} <= kinds
+    assert [tuple(r)[1:] for r in sorted(gaps) if r["instrument"] == "purchase"] == sorted(map(tuple, run("c04_missing_intervals")))
+    assert all(r["trade_number"] is not None for r in run("o11_teacher_join_whole"))
+
+
 def test_ranking_takes_one_row_a_signature(spark):
     data = [("a1", "a", "f", 1000, 0.1, 5.0, 0.1, []), ("a2", "a", "f", 1000, 0.1, 4.0, 0.2, []), ("b", "b", "f", 1200, 0.1, None, 0.15, []), ("c", "c", "g", 900, 0.3, 1.0, 0.3, ["sample_size"])]
     df = spark.createDataFrame(data, HYPOTHESIS)
