@@ -657,7 +657,7 @@ def a12(spark, sf):
 def a13(spark, sf):
     rows = daily_events(spark, sf)
     frame = rows.select("period_id", "day").distinct().withColumn("day_index", F.row_number().over(Window.partitionBy("period_id").orderBy("day")) - 1)
-    out = bootstrap.block_bootstrap(rows, frame, 400)
+    out = bootstrap.block_bootstrap(rows, frame)
     return spark.createDataFrame([(b["block_length"], b["status"], b["p_value"], *(b["lift_confidence_interval"] or (None, None))) for b in out["block_results"]], "block_length int, status string, p_value double, lift_low double, lift_high double")
 
 

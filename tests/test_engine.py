@@ -383,6 +383,15 @@ def test_whole_tables_are_registered(spark):
     assert all(r["trade_number"] is not None for r in run("o11_teacher_join_whole"))
 
 
+def test_the_registered_bootstrap_runs_all_replicates(spark, monkeypatch):
+    from candela import queries as Q
+
+    seen, own = [], bootstrap.starts
+    monkeypatch.setattr(bootstrap, "starts", lambda periods, block, replicates, seed: (seen.append(replicates), own(periods, block, replicates, seed))[1])
+    assert Q.QUERIES["a13_block_bootstrap"](spark, "/root/testdata/sf0.01").count() == 2
+    assert seen == [9_999, 9_999]
+
+
 def test_ranking_takes_one_row_a_signature(spark):
     data = [("a1", "a", "f", 1000, 0.1, 5.0, 0.1, []), ("a2", "a", "f", 1000, 0.1, 4.0, 0.2, []), ("b", "b", "f", 1200, 0.1, None, 0.15, []), ("c", "c", "g", 900, 0.3, 1.0, 0.3, ["sample_size"])]
     df = spark.createDataFrame(data, HYPOTHESIS)
