@@ -25,9 +25,11 @@ def crc_mod(column: Column, divisor: int) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder that the driver and all executors see: below spark.checkpoint.dir.
 
-    Only where that setting is missing (local tests) is a local folder set."""
+    Where that setting is missing, a session that runs in one process gets a local folder; a cluster has to name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="candela-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -54,6 +56,30 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, longer by underscores until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def left_join_with_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, rows: int) -> DataFrame:
+    """``left`` joined to ``right`` (one row a key, with the number of its rows in ``left`` in column ``count``), which is
+    stored. If ``right`` has at most ``rows`` rows, it is broadcast; otherwise the most frequent keys are, at most as many, and
+    only the others are shuffled, so that no task gets all rows of a frequent key. ``count`` is dropped."""
+    values = [c for c in right.columns if c not in (*keys, count)]
+    if right.count() <= rows:
+        return left.join(F.broadcast(right.drop(count)), keys, "left")
+    total = right.agg(F.sum(count)).first()[0]
+    often = total // rows + 1  # at most ``rows`` keys are as frequent
+    hot = right.where(F.col(count) >= often).select(*keys, *(F.col(c).alias(f"{c} of hot") for c in values), F.lit(True).alias("is hot"))
+    tagged = left.join(F.broadcast(hot), keys, "left")
+    found = tagged.where("`is hot`").select(*left.columns, *(F.col(f"{c} of hot").alias(c) for c in values))
+    rest = tagged.where("`is hot` is null").select(*left.columns).join(right.where(F.col(count) < often).drop(count).hint("merge"), keys, "left")
+    return found.unionByName(rest.select(*found.columns))
+
+
 def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
     space = np.zeros(256, bool)
     space[[9, 10, 11, 12, 13, 32]] = True

@@ -3,7 +3,8 @@
 Tasks write runs: an archive file of bounded size each in the shared folder, one gzip member a record,
 and its index lines sorted by URL key and timestamp. The lines of all runs are dealt out by ranges of
 the key; each range is merged from its runs with a loser tree, which gives every URL's captures in
-order, and all URLs in order over the ranges. Archives are read back file by file, each in one pass.
+order, and all URLs in order over the ranges. Archives are read back file by file, each in one pass beside
+its index lines.
 
 A record whose payload of at least MIN_REVISIT bytes was captured before (by a smaller page id) is
 written as a revisit that refers to that response.
@@ -17,6 +18,10 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime, timedelta
+from io import BytesIO
+from itertools import chain, groupby, islice, zip_longest
+from operator import itemgetter
+from typing import BinaryIO
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -29,7 +34,10 @@ from . import common as C
 
 MIN_REVISIT = 100
 RUN_BYTES = 24_000_000
-#: Up to this many payloads that recur are broadcast, else joined by shuffle.
+READ_BYTES = 1 << 20
+#: Tasks that read archives back: two a file, so that few get several, up to so many.
+READ_TASKS = 20_000
+#: Of the payloads that recur, at most so many are broadcast, the most common; the others are joined by shuffle.
 BROADCAST_ROWS = 200_000
 START = datetime(2024, 1, 1, tzinfo=UTC)
 LINE = "run string, url_key string, captured string, page_id bigint, file string, at bigint, size bigint"
@@ -64,15 +72,20 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block.partition(b"\r\n\r\n")[2]
 
 
-def members(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """(offset, contents) of the gzip members of a file."""
-    view, at = memoryview(data), 0
-    while at < len(data):
+def members(source: BinaryIO | bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, contents) of the gzip members of a stream, one member held at a time."""
+    source = BytesIO(source) if isinstance(source, bytes) else source
+    at, chunk = 0, source.read(READ_BYTES)
+    while chunk:
         reader, parts, begin = zlib.decompressobj(31), [], at
-        while not reader.eof and at < len(data):
-            chunk = view[at : at + 65536]
+        while chunk:
             parts.append(reader.decompress(chunk))
             at += len(chunk) - len(reader.unused_data)
+            chunk = reader.unused_data or source.read(READ_BYTES)
+            if reader.eof:
+                break
+        if not reader.eof:
+            raise ValueError(f"the member at {begin} ends early")
         yield begin, b"".join(parts)
 
 
@@ -124,8 +137,9 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
 
         def closed():
             out.close()
-            rows = sorted(lines, key=lambda x: x[1:4])
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=[c.split()[0] for c in LINE.split(", ")])
+            rows = sorted(lines, key=lambda x: (x[1], x[2], x[3] is not None, x[3]))
+            names, kinds = zip(*(c.split() for c in LINE.split(", ")))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == "string" else pa.int64()) for c, k in zip(zip(*rows), kinds)], names=names)
 
         for batch in batches:
             for begin in range(0, batch.num_rows, 200):
@@ -174,40 +188,46 @@ def merged_index(lines: DataFrame) -> DataFrame:
     return lines.repartitionByRange("url_key", "captured", "page_id", "file", "at").mapInArrow(run, "position bigint, url_key string, captured string, file string, at bigint, size bigint")
 
 
-def read(files: DataFrame, folder: str) -> DataFrame:
-    """Every record of the archives named in column ``file``: page_id, payload_bytes, payload_digest,
-    record_type, refers_to, file, at. Digest and length of a response are taken from its payload again."""
+def read(index: DataFrame, folder: str, tasks: int) -> DataFrame:
+    """Every record that ``index`` names (file, at, position): page_id, payload_bytes, payload_digest, record_type,
+    refers_to, position. A task reads its files one after the other, each in one pass beside its index lines, so that
+    records need no join. Digest and length of a response are taken from its payload again."""
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "position"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+
+    def checked(file: str, lines: Iterable[tuple[str, int, int]], filesystem: fs.FileSystem) -> Iterator[tuple]:
+        number = lambda urn: None if urn is None or urn == "<urn:page:None>" else int(urn[10:-1])
+        with filesystem.open_input_stream(file, compression=None) as source:
+            for (at, raw), line in zip_longest(members(source), lines, fillvalue=(None, None, None)):
+                if at is None or at != line[1]:
+                    raise ValueError(f"{file}: a record at {at}, an index line at {line[1]}")
+                fields, payload = parse(raw)
+                kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"][7:]
+                size = int(re.search(rb"Content-Length: (\d+)\r\n\r\n", raw.partition(b"\r\n\r\n")[2])[1])
+                if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
+                    raise ValueError(f"{file} at {at}: the payload isn't what was written")
+                yield number(fields["WARC-Record-ID"]), size, digest, kind, number(fields.get("WARC-Refers-To")), line[2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, _ = _filesystem(folder)
-        number = lambda urn: None if urn is None or urn == "<urn:page:None>" else int(urn[10:-1])
-        for batch in batches:
-            for file in batch.column("file").to_pylist():
-                with filesystem.open_input_stream(file, compression=None) as source:
-                    data = source.read()
-                rows = []
-                for at, raw in members(data):
-                    fields, payload = parse(raw)
-                    kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"][7:]
-                    size = int(re.search(rb"Content-Length: (\d+)\r\n\r\n", raw.partition(b"\r\n\r\n")[2])[1])
-                    if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-                        raise ValueError(f"{file} at {at}: the payload isn't what was written")
-                    rows.append((number(fields["WARC-Record-ID"]), size, digest, kind, number(fields.get("WARC-Refers-To")), file, at))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "at"])
+        lines = (line for batch in batches for line in zip(*(batch.column(c).to_pylist() for c in ("file", "at", "position"))))
+        records = chain.from_iterable(checked(file, own, filesystem) for file, own in groupby(lines, itemgetter(0)))
+        while rows := list(islice(records, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return files.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, file string, at bigint")
+    dealt = index.select("file", "at", "position").repartition(tasks, "file").sortWithinPartitions("file", "at")
+    return dealt.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, position bigint")
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, html, digest and refers_to: the smallest page id with an equal payload of at least
-    MIN_REVISIT bytes, where that isn't the row's own."""
+    MIN_REVISIT bytes, where that isn't the row's own. Payloads that recur often travel to their pages; there are at
+    most BROADCAST_ROWS of them, so no task gets all pages of a common one."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = C.small_batches(pages).select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("bytes"))
-    again = C.stored(own.where(F.col("bytes") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first"))
-    if again.count() <= BROADCAST_ROWS:
-        again = F.broadcast(again)
-    return own.join(again, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
+    again = C.stored(own.where(F.col("bytes") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null"))
+    out = C.left_join_with_hot(own, again, ["digest"], "n", BROADCAST_ROWS)
+    return out.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).select("page_id", "url", "html", "digest", "refers_to")
 
 
 def archived(pages: DataFrame) -> DataFrame:
@@ -218,7 +238,5 @@ def archived(pages: DataFrame) -> DataFrame:
     all responses; an empty table gives no rows; other columns are ignored."""
     folder = C.shared_folder(pages.sparkSession)
     lines = C.stored(write(with_revisits(pages), folder))
-    index = merged_index(lines).select("file", "at", "position")
-    files = lines.select("file").distinct()
-    records = read(files.repartition(F.col("file")), folder)
-    return records.join(index, ["file", "at"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "position")
+    files = lines.select("file").distinct().count()
+    return read(merged_index(lines), folder, min(max(1, 2 * files), READ_TASKS))
