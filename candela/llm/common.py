@@ -72,7 +72,7 @@ def left_join_with_hot(left: DataFrame, right: DataFrame, keys: list[str], count
     if right.count() <= rows:
         return left.join(F.broadcast(right.drop(count)), keys, "left")
     total = right.agg(F.sum(count)).first()[0]
-    often = total // rows + 1  # at most ``rows`` keys are as frequent
+    often = total // max(1, rows) + 1  # at most ``rows`` keys are as frequent
     hot = right.where(F.col(count) >= often).select(*keys, *(F.col(c).alias(f"{c} of hot") for c in values), F.lit(True).alias("is hot"))
     tagged = left.join(F.broadcast(hot), keys, "left")
     found = tagged.where("`is hot`").select(*left.columns, *(F.col(f"{c} of hot").alias(c) for c in values))

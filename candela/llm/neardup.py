@@ -7,11 +7,17 @@
    so a bucket of any size gives a number of pairs proportional to its members. A class first
    confirms its most frequent pivot, then the others that are still in another component.
 3. The rest, exactly. Buckets that still hold several components compare every pair of members
-   across components by signature: small ones in the join, large ones in blocks dealt over tasks.
+   across components by signature: small ones in the join; in large ones the members outside the bucket's
+   largest component meet all members, in blocks dealt over tasks.
 4. Confirmation reads both full shingle sets. Links become components by alternating large-star and
    small-star rounds, each written to the shared folder.
 
-With 25 bands of 5 rows a pair at similarity 0.85 shares no band with probability 4e-7.
+No step brings all rows of a frequent bucket, pivot, component or digest into one task: what such a key is joined
+to travels to its rows (``common.left_join_with_hot``), and the sets of a pivot with many pairs are salted.
+
+With 25 bands of 5 rows a pair at similarity 0.85 shares no band with probability 4e-7, one at 0.80 with 5e-5; a pair
+at the threshold has signatures that agree on less than the slack allows with probability 5e-6 or less. Both concern
+a single link: members of a group have many.
 """
 
 from __future__ import annotations
@@ -28,8 +34,10 @@ from . import common as C
 
 BANDS, ROWS = 25, 5
 SMALL_BUCKET = 24
-#: Classes of so many documents, and of so many that there can be only HOT_CLASSES of them, are broadcast.
-HOT_CLASS, HOT_CLASSES = 1_000, 10_000
+#: At most so many rows are broadcast, those of the most frequent keys.
+BROADCAST_ROWS = 50_000
+#: Pairs that meet one copy of a document's shingle set.
+SHARE = 500
 BLOCK = 512
 #: A pair whose signatures agree on less than threshold - SLACK isn't confirmed: over four standard errors.
 SLACK = 0.16
@@ -121,9 +129,9 @@ def _agreeing(percent: int):
 
 
 def _linked(percent: int):
-    """Links between the members of a block pair that are in different components. Members that a link
-    has joined aren't compared again, and two that share several buckets meet in the one with the
-    smallest key."""
+    """Links between members outside a bucket's largest component and all its members that are in different
+    components. Members that a link has joined aren't compared again, and two that share several buckets meet in the one
+    with the smallest key."""
     least = (percent / 100 - SLACK) * BANDS * ROWS
 
     def run(key, left, right):
@@ -137,8 +145,9 @@ def _linked(percent: int):
             names, of = np.unique(np.concatenate((left["component"], right["component2"])), return_inverse=True)
             root = np.arange(len(names))
             ca, cb = of[: len(ida)], of[len(ida) :]
+            largest = right["largest2"].to_numpy()  # those stand on this side only, the others on both
             for k in range(len(x)):
-                near = np.flatnonzero(((x[k] == y).sum(axis=1) >= least) & (root[cb] != root[ca[k]]) & ((idb > ida[k]) | (key[1] != key[2])))
+                near = np.flatnonzero(((x[k] == y).sum(axis=1) >= least) & (root[cb] != root[ca[k]]) & ((idb > ida[k]) | largest))
                 if not len(near):
                     continue
                 first = np.where(kx[k] == ky[near], kx[k], np.iinfo(np.int64).max).min(axis=1) == key[0]
@@ -164,12 +173,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds over DataFrames until the links no longer change."""
     edges = C.stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    mark = None
+    mark, rows = None, edges.count()
     while True:
         for star in ("large", "small"):
             around = edges if star == "small" else edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            least = around.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-            joined = around.join(least, "u")
+            least = around.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("degree"))
+            if rows > BROADCAST_ROWS:
+                least = C.stored(least)
+                joined = C.left_join_with_hot(around, least, ["u"], "degree", BROADCAST_ROWS)
+            else:  # at most two nodes a link
+                joined = around.join(F.broadcast(least.drop("degree")), "u")
             if star == "large":
                 edges = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
             else:
@@ -179,7 +192,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.coalesce(F.sum((F.col("u") <= F.col("v")).cast("int")), F.lit(0))).first()
         if now == mark or not now[0]:
             break
-        mark = now
+        mark, rows = now, now[0]
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
@@ -200,10 +213,22 @@ class _Links:
     def across(self, pairs: DataFrame) -> DataFrame:
         return self.labelled(self.labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
 
+    def with_sets(self, pairs: DataFrame, column: str, busy: DataFrame) -> DataFrame:
+        """``pairs`` with the shingle set of the document in ``column``. The set of one with many pairs (busy: rep,
+        times) is copied, and its pairs are dealt out to the copies."""
+        parts = F.greatest(F.lit(1), F.ceil(F.col("times") / F.lit(SHARE)))
+        copies = C.stored(busy.select(F.col("rep").alias(column), parts.cast("int").alias("parts"), "times"))
+        salt = F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))).cast("int").alias("salt")
+        dealt = C.left_join_with_hot(pairs, copies, [column], "times", BROADCAST_ROWS).select(*pairs.columns, salt)
+        sets = self.sets.select(F.col("rep").alias(column), F.col("shingles").alias(f"set_{column}"))
+        sets = sets.join(copies.drop("times"), column, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        return dealt.join(sets, [column, "salt"]).drop("salt")
+
     def confirm(self, pairs: DataFrame) -> None:
         """pairs: (a, b), each once."""
-        with_a = pairs.join(self.sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a")
-        both = with_a.join(self.sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
+        pairs = C.stored(pairs)
+        times = lambda c: pairs.groupBy(F.col(c).alias("rep")).agg(F.count("*").alias("times")).where(F.col("times") > SHARE)
+        both = self.with_sets(self.with_sets(pairs, "a", times("a")), "b", times("b")).select("a", "b", "set_a", "set_b")
         found = C.stored(both.mapInArrow(_confirmed(self.percent), "a bigint, b bigint"))
         self.add(found)
 
@@ -225,16 +250,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sketch = C.stored(source.mapInArrow(_sketches, SKETCH))
     named = sketch.where("doc_id is not null and digest is not null")
     classes = C.stored(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    often = max(HOT_CLASS, sketch.count() // HOT_CLASSES)  # so at most HOT_CLASSES classes are as large and travel to their members
-    hot = F.broadcast(classes.where(F.col("n") >= often).select("digest", F.col("rep").alias("hot_rep")))
-    tagged = named.select("doc_id", "digest").join(hot, "digest", "left")
-    others = tagged.where("hot_rep is null").join(classes.where(F.col("n") < often), "digest").select("doc_id", "rep")
-    member = C.stored(tagged.where("hot_rep is not null").select("doc_id", F.col("hot_rep").alias("rep")).unionByName(others).distinct())
+    member = C.stored(C.left_join_with_hot(named.select("doc_id", "digest"), classes, ["digest"], "n", BROADCAST_ROWS).select("doc_id", "rep").distinct())
     reps = named.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
     keyed = reps.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key")).distinct()
     order = F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(order)["rep"].alias("pivot")).where("n > 1")
-    shared = C.stored(keyed.join(buckets, "key"))
+    buckets = C.stored(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(order)["rep"].alias("pivot")).where("n > 1"))
+    shared = C.stored(C.left_join_with_hot(keyed, buckets.withColumn("size", F.col("n")), ["key"], "n", BROADCAST_ROWS).where("pivot is not null"))
     pivots = C.stored(shared.where("rep <> pivot").groupBy(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), "rep").agg(F.count("*").alias("times")))
     links = _Links(source, reps, percent)
     wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
@@ -244,20 +265,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links.confirm(best.select("x.a", "x.b").distinct())
     links.confirm(links.across(pivots.select("a", "b").distinct()))
 
-    grouped = C.stored(links.labelled(shared.select("key", "rep", "n"), "rep", "component"))
-    mixed = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    grouped = C.stored(links.labelled(shared.select("key", "rep"), "rep", "component"))
+    parts = grouped.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key")
+    mixed = C.stored(parts.agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max(F.struct("c", "component"))["component"].alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts"))
     traits = reps.groupBy(F.col("doc_id").alias("rep")).agg(F.min(F.struct("digest", "signature", "bands")).alias("t")).select("rep", "t.signature", "t.bands")
-    open_ = grouped.join(mixed, "key").join(traits, "rep")
-    small = open_.where(F.col("n") <= SMALL_BUCKET).select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("signature").alias("sa"))
+    open_ = C.left_join_with_hot(grouped, mixed.withColumn("size", F.col("n")), ["key"], "n", BROADCAST_ROWS).where("largest is not null").join(traits, "rep")
+    small = open_.where(F.col("size") <= SMALL_BUCKET).select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("signature").alias("sa"))
     other = small.select("key", F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("sa").alias("sb"))
     pairs = small.join(other, "key").where("a < b and ca <> cb").select("a", "b", "sa", "sb").mapInArrow(_agreeing(percent), "a bigint, b bigint").distinct()
     links.confirm(pairs.join(pivots.select("a", "b"), ["a", "b"], "left_anti"))
 
-    large = open_.where(F.col("n") > SMALL_BUCKET).join(links.sets, "rep").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    dealt = large.withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK))
+    large = open_.where(F.col("size") > SMALL_BUCKET).join(links.sets, "rep").withColumn("in_largest", F.col("component") == F.col("largest"))
+    large = large.withColumn("i", F.pmod(F.xxhash64("rep"), blocks(F.col("size") - F.col("most")))).withColumn("j", F.pmod(F.xxhash64("rep"), blocks(F.col("size"))))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), blocks(n) - 1))
     held = ("rep", "component", "signature", "bands", "shingles")
-    left = dealt.select("key", F.col("block").alias("i"), F.col("with").alias("j"), *held).where("i <= j")
-    right = dealt.select(F.col("key").alias("key2"), F.col("with").alias("i2"), F.col("block").alias("j2"), *(F.col(c).alias(f"{c}2") for c in held)).where("i2 <= j2")
+    left = large.where("not in_largest").select("key", "i", every(F.col("size")).alias("j"), *held)
+    right = large.select(F.col("key").alias("key2"), every(F.col("size") - F.col("most")).alias("i2"), F.col("j").alias("j2"), F.col("in_largest").alias("largest2"), *(F.col(c).alias(f"{c}2") for c in held))
     wide = left.groupBy("key", "i", "j").cogroup(right.groupBy("key2", "i2", "j2")).applyInPandas(_linked(percent), "a bigint, b bigint")
     links.add(C.stored(wide.distinct()))
 
@@ -274,7 +298,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_one(df: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of ``df`` (with doc_id and text) but for near copies: the smallest id of each
-    component stays, once if its row is repeated. Rows without an id stay."""
-    kept = near_duplicates(df, percent=percent).where("kept and doc_id is not null").select(F.col("doc_id")).distinct()
-    unnamed = df.where("doc_id is null")
-    return df.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*df.columns).unionByName(unnamed)
+    component stays, once if its row is repeated. Of rows that share an id but not a text each counts as a document of its
+    own, in the order of their texts' hashes. Rows without an id stay."""
+    named, unnamed = df.where("doc_id is not null"), df.where("doc_id is null")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = near_duplicates(named, percent=percent).where("kept").select("doc_id")
+        return named.join(kept, "doc_id", "left_semi").select(*df.columns).unionByName(unnamed)
+    number = C.free_name(df.columns, "number")
+    numbered = C.stored(named.orderBy("doc_id", F.xxhash64("text")).withColumn(number, F.monotonically_increasing_id()))  # grows with the id
+    kept = near_duplicates(numbered.select(F.col(number).alias("doc_id"), "text"), percent=percent).where("kept").select(F.col("doc_id").alias(number))
+    kept = numbered.join(kept, number, "left_semi")
+    wordless = kept.where(F.coalesce(F.trim(F.translate("text", "\t\n\v\f\r", "     ")), F.lit("")) == "")
+    rest = kept.join(wordless.select(number), number, "left_anti")
+    return rest.select(*df.columns).unionByName(wordless.dropDuplicates(["doc_id"]).select(*df.columns)).unionByName(unnamed)
