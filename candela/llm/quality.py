@@ -127,10 +127,12 @@ def scored(x: np.ndarray, model: Trees) -> np.ndarray:
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, sample: int, divisor: int = 5) -> DataFrame:
     """(doc_id, text, y) of at most ``sample`` labelled ids whose crc32 modulo ``divisor`` isn't 0, those
     with the smallest hashes. The bound makes the labels safe to broadcast; of several labels of an id
-    the largest counts; rows with a null label or id are left out."""
+    the largest counts, and of several texts of an id the one with the smallest hash, so that no more rows than ``sample``
+    come out; rows with a null label or id are left out."""
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (C.crc_mod(F.col("doc_id"), divisor) != 0))
     chosen = own.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return C.small_batches(documents).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = C.small_batches(documents).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")).select("doc_id", "text", "y")
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Trees:
@@ -151,20 +153,19 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", sample:
 def score(documents: DataFrame, model: Trees, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """``documents`` with score and predicted (1 from ``threshold`` on). Null and empty texts are scored
     from zero statistics; with no labels every score is one half; columns of these names are replaced."""
-    if "__text" in documents.columns:
-        raise ValueError("__text is reserved")
+    body = C.free_name(documents.columns, "body")
     rest = [c for c in documents.columns if c not in ("score", "predicted")]
-    source = C.small_batches(documents).select(*rest, F.col(text_col).alias("__text"))
+    source = C.small_batches(documents).select(*rest, F.col(text_col).alias(body))
     keep = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 2000):
                 part = batch.slice(begin, 2000)
-                x = np.array([statistics(t) for t in C.texts(part, "__text")]).reshape(-1, FEATURES).astype(np.float32).astype(np.float64)
+                x = np.array([statistics(t) for t in C.texts(part, body)]).reshape(-1, FEATURES).astype(np.float32).astype(np.float64)
                 p = scored(x, keep.value)
                 arrays = [part.column(c) for c in rest] + [pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32), pa.int32())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*rest, "score", "predicted"])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema if f.name != "__text")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema if f.name != body)
     return source.mapInArrow(run, f"{schema}score double, predicted int")

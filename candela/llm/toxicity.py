@@ -2,9 +2,10 @@
 
 A letter transducer maps words to classes: insults and threats with weights, targets, negators and
 verbs of reported speech. Its insults are stems and whole words that the labelled texts give; the
-closed classes are fixed lists. Token transducers over these classes are composed into one machine that
-runs over a clause: one each for insults, threats, targets, negation (a scope of a few words) and
-reported speech (to the end of the clause). Each match leaves with the pattern that it stands in, so
+closed classes are fixed lists. Transducers over these classes, one each for insults, threats, targets, negation (a scope
+of a few words) and reported speech (to the end of the clause), are composed into one machine that
+runs over a clause. As a target may follow its match, a second machine reads the clause from its end, and a
+table gives the output of each pair of states (a bimachine). Each match leaves with the pattern that it stands in, so
 "he said they are no fools" and "you fool" count in different patterns. A logistic model, fitted
 on the labels and held towards prior weights in which negated and reported matches count less, turns
 the matched patterns of all clauses into a score.
@@ -13,6 +14,7 @@ the matched patterns of all clauses into a score.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from itertools import product
@@ -27,9 +29,8 @@ from pyspark.sql import functions as F
 from . import common as C
 from .quality import labelled_sample
 
-#: The most labelled rows that the grammar is fitted on, and the most lexicon entries.
+#: The most labelled rows that the grammar is fitted on.
 SAMPLE = 20_000
-LEXICON = 4_000
 SHORTEST, LONGEST = 4, 9
 SCOPE = 3
 #: A key tells if its log odds and its likelihood ratio against chance are so large.
@@ -47,7 +48,8 @@ PATTERNS = {x: k for k, x in enumerate(product(KINDS, (False, True), (False, Tru
 
 
 class Transducer(NamedTuple):
-    """States are integers from 0; ``step(state, class)`` gives the next state; ``out`` says whether a state marks a match."""
+    """States are integers from 0, where it starts; ``step`` gives the next state by state and class (-1: any other
+    class; none: it stays); a token is marked if reading it leads into a state of ``out``."""
 
     step: dict[tuple[int, int], int]
     out: frozenset[int]
@@ -56,47 +58,62 @@ class Transducer(NamedTuple):
         return self.step.get((state, token), self.step.get((state, -1), state))
 
 
+def _each(kind: int) -> Transducer:
+    """Marks the tokens of class ``kind``."""
+    return Transducer({(s, t): int(t == kind) for s in (0, 1) for t in range(6)}, frozenset([1]))
+
+
 def _scope(opens: int, length: int) -> Transducer:
     """Marks the ``length`` tokens after one of class ``opens``."""
-    steps = {(s, -1): max(0, s - 1) for s in range(length + 1)} | {(s, opens): length for s in range(length + 1)}
+    steps = {(s, -1): max(0, s - 1) for s in range(length + 2)} | {(s, opens): length + 1 for s in range(length + 2)}
     return Transducer(steps, frozenset(range(1, length + 1)))
 
 
 def _rest(opens: int) -> Transducer:
-    """Marks all tokens of the clause after one of class ``opens``."""
+    """Marks all tokens from one of class ``opens`` on."""
     return Transducer({(0, opens): 1}, frozenset([1]))
 
 
-MACHINES = (_rest(TARGETED), _scope(NEGATED, SCOPE + 1), _rest(REPORTED))
+class Composed(NamedTuple):
+    moves: list[list[int]]  # by state and class
+    marks: list[tuple[bool, ...]]  # by state, whether each transducer marks the token that led there
 
 
-def _composed() -> tuple[dict[tuple[tuple[int, ...], int], tuple[int, ...]], dict[tuple[int, ...], tuple[bool, ...]]]:
-    """The product of the machines: its moves, and the marks of each state that can be reached."""
-    start = (0,) * len(MACHINES)
-    moves, marks, open_ = {}, {}, [start]
-    while open_:
-        state = open_.pop()
-        if state in marks:
-            continue
-        marks[state] = tuple(s in m.out for s, m in zip(state, MACHINES))
+def composed(*machines: Transducer) -> Composed:
+    """The product of transducers, with the states that can be reached; 0 is the first."""
+    numbers, open_, moves = {(0,) * len(machines): 0}, [(0,) * len(machines)], []
+    for state in open_:
+        row = []
         for token in range(6):
-            moves[state, token] = to = tuple(m.move(s, token) for s, m in zip(state, MACHINES))
-            open_.append(to)
-    return moves, marks
+            to = tuple(m.move(s, token) for s, m in zip(state, machines))
+            if to not in numbers:
+                numbers[to] = len(open_)
+                open_.append(to)
+            row.append(numbers[to])
+        moves.append(row)
+    return Composed(moves, [tuple(s in m.out for s, m in zip(state, machines)) for state in open_])
+
+
+AHEAD = composed(_each(INSULT), _each(THREATEN), _rest(TARGETED), _scope(NEGATED, SCOPE + 1), _rest(REPORTED))
+BEHIND = composed(_rest(TARGETED))  # reads from the end
+
 
+def _outputs() -> list[list[int | None]]:
+    """The pattern that a token leaves with, by the state of either machine."""
+    return [[PATTERNS[INSULT if insult else THREATEN, before or after, negated, reported] if insult or threat else None for (after,) in BEHIND.marks] for insult, threat, before, negated, reported in AHEAD.marks]
 
-MOVES, MARKS = _composed()
+
+OUTPUT = _outputs()
 
 
 class Grammar(NamedTuple):
     stems: dict[str, float]  # any word that begins so
     words: dict[str, float]
     weights: np.ndarray
-    floor: float
 
 
 class Machine:
-    """The letter transducer and the composed token transducer of a grammar."""
+    """The letter transducer of a grammar ahead of the composed machines."""
 
     def __init__(self, grammar: Grammar):
         self.grammar = grammar
@@ -118,16 +135,18 @@ class Machine:
         return OTHER, 0.0
 
     def clause(self, text: str) -> list[tuple[int, float]]:
-        """(pattern, weight) of the matches in a clause. A target after a match counts as well as one before."""
-        state, matches = (0,) * len(MACHINES), []
-        aimed = False
-        for m in WORD.finditer(text):
-            kind, weight = self.token(m[0])
-            if kind in KINDS:
-                matches.append((kind, weight, MARKS[state]))
-            aimed |= kind == TARGETED
-            state = MOVES[state, kind]
-        return [(PATTERNS[kind, aimed, negated, reported], weight) for kind, weight, (_, negated, reported) in matches]
+        """(pattern, weight) of the matches in a clause."""
+        tokens = [self.token(m[0]) for m in WORD.finditer(text)]
+        behind, state = [], 0
+        for kind, _ in reversed(tokens):
+            state = BEHIND.moves[state][kind]
+            behind.append(state)
+        out, state = [], 0
+        for (kind, weight), after in zip(tokens, reversed(behind)):
+            state = AHEAD.moves[state][kind]
+            if (pattern := OUTPUT[state][after]) is not None:
+                out.append((pattern, weight))
+        return out
 
     def matches(self, text: str | None) -> list[tuple[int, float]]:
         """Matches of all clauses of a whole text; only clauses in which a stem occurs are run."""
@@ -212,29 +231,31 @@ def lexicon(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> tuple[d
     for key, t, n in rows:
         odds = np.log((t + 0.5) / (toxic + 1)) - np.log((n + 0.5) / (clean + 1))
         tells[key] = (t, odds)
-    stems, words = {}, {}
+    ordered, stems, words = sorted(tells), {}, {}
+
+    def beginning(text: str) -> list[str]:
+        return ordered[bisect_left(ordered, text) : bisect_left(ordered, text + chr(0x10FFFF))]
+
+    covered: set[str] = set()  # keys that begin with a stem
     for key in sorted(tells, key=lambda k: (len(k.rstrip()), k)):
-        if key.endswith(" "):
-            if not any(key[:k] in stems for k in range(SHORTEST, len(key))):
-                words[key.rstrip()] = float(tells[key][1])
-            continue
-        if any(key[:k] in stems for k in range(SHORTEST, len(key))) or any(key.startswith(s) for s in stems):
+        if any(key[:k] in stems for k in range(SHORTEST, len(key))) or not key.endswith(" ") and key in covered:
             continue
-        t = tells[key][0]
-        longer = [k for k in tells if k.startswith(key) and tells[k][0] == t]
-        best = max(longer, key=lambda k: (len(k.rstrip()), k.endswith(" ")))
+        best = key
+        if not key.endswith(" "):
+            best = max((k for k in beginning(key) if tells[k][0] == tells[key][0]), key=lambda k: (len(k.rstrip()), k.endswith(" ")))
         if best.endswith(" "):
             words[best.rstrip()] = float(tells[best][1])
         else:
             stems[best] = float(tells[best][1])
+            covered.update(beginning(best))
     return stems, words
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     """Learn lexicon and weights from at most ``sample`` labelled ids outside the held-out fifth. Both
-    steps count on the executors; the driver gets the LEXICON most telling keys and the pattern
+    steps count on the executors; the driver gets the telling keys and the pattern
     features of the sample. Without labels of both kinds only the fixed lists and the prior are used."""
-    sampled = labelled_sample(documents, labels, "toxic", sample)
+    sampled = C.stored(labelled_sample(documents, labels, "toxic", sample))
     counts = C.stored(sampled.select("text", "y").mapInArrow(_prefix_counts, "key string, t bigint, n bigint").groupBy("key").agg(F.sum("t").alias("t"), F.sum("n").alias("n")))
     whole = counts.where("key = '  '").first()
     toxic, clean = (whole["t"], whole["n"]) if whole else (0, 0)
@@ -243,9 +264,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Gramma
         odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("n") + 0.5) / (clean + 1))
         share, met = toxic / (toxic + clean), F.col("t") + F.col("n")
         evidence = 2 * (F.col("t") * F.log(F.col("t") / (met * share)) + F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / (met * (1 - share)))).otherwise(0.0))
-        rows = counts.where((F.col("key") != "  ") & (F.col("t") >= 3) & (odds >= LEAST_ODDS) & (evidence >= LEAST_EVIDENCE)).orderBy(-F.col("t") * odds, "key").limit(LEXICON).collect()
+        rows = counts.where((F.col("key") != "  ") & (F.col("t") >= 3) & (odds >= LEAST_ODDS) & (evidence >= LEAST_EVIDENCE)).orderBy("key").collect()
         stems, words = lexicon([tuple(r) for r in rows], toxic, clean)
-    grammar = Grammar(stems, words, prior_weights(), 0.0)
+    grammar = Grammar(stems, words, prior_weights())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Machine(grammar)
@@ -263,10 +284,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Gramma
 def score(documents: DataFrame, grammar: Grammar, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """``documents`` with score and predicted (1 from ``threshold`` on), from the clauses of the whole
     text. Null and empty texts match nothing; columns of these names are replaced."""
-    if "__text" in documents.columns:
-        raise ValueError("__text is reserved")
+    body = C.free_name(documents.columns, "body")
     rest = [c for c in documents.columns if c not in ("score", "predicted")]
-    source = C.small_batches(documents).select(*rest, F.col(text_col).alias("__text"))
+    source = C.small_batches(documents).select(*rest, F.col(text_col).alias(body))
     keep = documents.sparkSession.sparkContext.broadcast(grammar)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,11 +294,11 @@ def score(documents: DataFrame, grammar: Grammar, threshold: float = 0.5, text_c
         for batch in batches:
             for begin in range(0, batch.num_rows, 2000):
                 part = batch.slice(begin, 2000)
-                x = np.array([machine.features(t) for t in C.texts(part, "__text")]).reshape(-1, len(PATTERNS) + EXTRA)
+                x = np.array([machine.features(t) for t in C.texts(part, body)]).reshape(-1, len(PATTERNS) + EXTRA)
                 weights = keep.value.weights
                 p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
                 arrays = [part.column(c) for c in rest] + [pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32), pa.int32())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*rest, "score", "predicted"])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema if f.name != "__text")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema if f.name != body)
     return source.mapInArrow(run, f"{schema}score double, predicted int")
