@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The index of minima is broadcast up to this many rows of two longs, else joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Copies of the index in that join, so that no task meets a shingle that many documents share in all of them.
+SALTS = 16
 
 
 def words(text: Column) -> Column:
@@ -52,10 +54,13 @@ def contained(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     needed = (F.floor(F.lit(1 - threshold) * bound + F.lit(1e-9)) + 1).cast("int")
     ranked = F.array_sort(F.transform("keys", lambda k: F.struct(F.xxhash64(k, F.lit(17)).alias("h"), k.alias("k"))))
     index = item.select("item_id", F.explode(F.slice(F.transform(ranked, lambda x: x["k"]), F.lit(1), needed)).alias("key"))
-    if index.count() <= BROADCAST_ROWS:
-        index = F.broadcast(index)
     probes = docs.select("doc_id", F.transform(words(F.col("body")), lambda w: F.xxhash64(w)).alias("hashes")).select("doc_id", F.explode(shingle_hashes("hashes", width)).alias("key"))
-    candidates = probes.join(index, "key").select("doc_id", "item_id").distinct()
+    if index.count() <= BROADCAST_ROWS:
+        met = probes.join(F.broadcast(index), "key")
+    else:  # the shingles of a common passage are dealt out to copies of the index
+        salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = probes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
+    candidates = met.select("doc_id", "item_id").distinct()
     pairs = candidates.groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
     texts = docs.join(pairs, "doc_id").select("doc_id", "items", words(F.col("body")).alias("tokens"))
     checked = texts.select("doc_id", "items", shingle_strings("tokens", width).alias("own")).select("doc_id", F.explode("items").alias("item_id"), "own")
@@ -65,7 +70,9 @@ def contained(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 
 
 def decontaminated(documents: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The documents (doc_id, text, ...) that contain no item; those without an id stay."""
+    """The documents (doc_id, text, ...) that contain no item. Null and empty texts and rows without an id stay; rows that
+    repeat an id go together if one of their texts contains an item; empty tables take nothing away; other columns are
+    passed through."""
     return documents.join(contained(documents, items, threshold=threshold).select("doc_id").distinct(), "doc_id", "left_anti").select(*documents.columns)
 
 

@@ -27,7 +27,7 @@ from . import common as C
 
 #: A subtree is template if it stands on so many different pages of a host, however large that is.
 MIN_PAGES = 5
-#: The template is broadcast up to this many subtrees, else joined by shuffle.
+#: The template is broadcast up to this many subtrees; beyond it the most common ones are, and the others are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
@@ -257,13 +257,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     parsed = parsed.withColumn("host", host)
     marks = parsed.select("row", "host", F.explode("marks").alias("m")).select("row", "host", "m.hash", "m.first", "m.last", "m.main")
     counts = marks.where("main is not null").groupBy("host", "hash", "main").agg(F.lit(1)).groupBy("host", "hash").agg(F.count("*").alias("n"))
-    template = C.stored(counts.where(F.col("n") >= MIN_PAGES).select("host", "hash"))
+    template = C.stored(counts.where(F.col("n") >= MIN_PAGES).select("host", "hash", F.col("n").alias("times"), F.lit(True).alias("recurs")))
     with_length = lambda df: df.withColumn("n_chars", F.char_length("text").cast("bigint"))
     if template.count() <= BROADCAST_ROWS:
         known = {r["host"]: frozenset(r["hashes"]) for r in template.groupBy("host").agg(F.collect_list("hash").alias("hashes")).collect()}
         kept = _without(pages.sparkSession.sparkContext.broadcast(known))
         return with_length(parsed.select("page_id", "url", "host", "blocks", "marks", "largest").mapInArrow(kept, f"page_id {kinds['page_id']}, url {kinds['url']}, text string"))
-    gone = marks.join(template, ["host", "hash"]).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
+    gone = C.left_join_with_hot(marks.drop("main"), template, ["host", "hash"], "times", BROADCAST_ROWS).where("recurs").groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
     left = F.expr("filter(blocks, (b, i) -> gone is null or not exists(gone, g -> g.first <= i and i < g.last))")
     text = F.expr("case when size(kept) = 0 and largest is not null then blocks[largest] else array_join(kept, ' ') end")
     return with_length(parsed.join(gone, "row", "left").withColumn("kept", left).select("page_id", "url", text.alias("text")))
