@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .operators import bootstrap, features, segments, splits, synthetic
 from .plans import research, tournament
 from .sources import bars as io
+from .sources.store import stored
 from .streaming import matcher
 
 
@@ -54,13 +55,19 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     args = parser.parse_args(argv)
     spark, root = spark or SparkSession.builder.getOrCreate(), args.root
     if args.command == "audit":
-        raw = io.read(spark, args.source)
-        if "source_row" not in raw.columns:
-            raw = io.numbered(raw, F.monotonically_increasing_id())
+        if args.source.endswith(".csv"):
+            raw = io.read_csv(spark, args.source, ordinal=True)
+        else:
+            raw = io.read(spark, args.source)
+            if "source_row" not in raw.columns:
+                raise ValueError("a source that isn't CSV needs a column source_row")
         schedule = io.read(spark, args.schedule)
         found = research.audit(raw, schedule)
         for name in ("training", "holdout"):
             io.write(found[name], str(root / f"data/{name}.parquet"))
+        for name, table in found["tables"].items():
+            if name != "bars":
+                io.write(table, str(root / f"reports/audit/{name}.parquet"))
         io.write(schedule, str(root / "data/schedule.parquet"))
         io.write_document(root / "reports/audit.json", found["audit"])
         out = found["audit"]
@@ -95,7 +102,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         out = synthetic.profile(segments.segmented(io.read(spark, args.source)), io.file_sha256(args.source) if Path(args.source).is_file() else "")
         io.write_document(args.output, out)
     else:
-        rows = synthetic.dataset(spark, json.loads(args.profile.read_text()), args.sequences, args.bars, args.seed).persist()
+        rows = stored(synthetic.dataset(spark, json.loads(args.profile.read_text()), args.sequences, args.bars, args.seed))
         io.write(rows.drop("scenario", "seed"), f"{args.output}/bars", "jsonl", ["split"])
         examples = features.simulated(segments.segmented(rows.drop("scenario", "seed")), args.horizon)
         io.write(examples, f"{args.output}/examples", "jsonl", ["split"])

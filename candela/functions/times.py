@@ -5,13 +5,13 @@ from __future__ import annotations
 import re
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EASTERN = "America/New_York"
 AWARE = r"(Z|[+-]\d{2}:?\d{2})$"
-#: Sizes of clock changes that are tested for a local time that occurs twice, in minutes.
-SHIFTS = (30, 60, 120)
+#: A clock change is looked for so many seconds ahead; none is larger.
+AHEAD = 3 * 3600
 
 
 def epoch(ts: Column | str) -> Column:
@@ -37,14 +37,17 @@ def nonexistent(ts: Column, zone: str) -> Column:
     return local(utc(ts, zone), zone) != ts
 
 
+def _twice(ts: Column, first: Column, ahead: Column, zone: str) -> Column:
+    """Whether the clock was put back so far, within AHEAD of the UTC time ``first``, that it shows ``ts`` again.
+    ``ahead`` is the wall clock AHEAD after ``first``."""
+    back = F.timestamp_diff("SECOND", ahead, shifted(ts, AHEAD))
+    return (back > 0) & (local(shifted(first, back), zone) == ts)
+
+
 def ambiguous(ts: Column, zone: str) -> Column:
-    """Whether a wall-clock time occurs twice: another UTC time shows the same wall clock."""
-    base = utc(ts, zone)
-    other = [local(shifted(base, sign * 60 * m), zone) == ts for m in SHIFTS for sign in (-1, 1)]
-    out = other[0]
-    for x in other[1:]:
-        out = out | x
-    return out & ~nonexistent(ts, zone)
+    """Whether a wall-clock time occurs twice: a later UTC time shows the same wall clock."""
+    first = utc(ts, zone)
+    return _twice(ts, first, local(shifted(first, AHEAD), zone), zone)
 
 
 def check_zone(zone: str) -> str:
@@ -54,24 +57,24 @@ def check_zone(zone: str) -> str:
     return zone
 
 
-def parsed(text: Column, zone: str) -> dict[str, Column]:
-    """UTC time and the reason why there is none, of texts with or without an offset.
+def with_parsed(df: DataFrame, column: str, zone: str, ts: str = "ts", reason: str = "reason") -> DataFrame:
+    """Adds the UTC time of texts with or without an offset, and the reason why there is none.
 
-    Local times that occur twice or never are refused, never guessed."""
+    Local times that occur twice or never are refused, never guessed. Each conversion of the clock is a column of its
+    own, so that it is computed once a row and stands once in the plan."""
     check_zone(zone)
-    text = F.trim(text.cast("string"))
-    aware = F.coalesce(text.rlike(AWARE), F.lit(False))
-    colon = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    zulu = F.regexp_replace(colon, r"Z$", "+00:00")
-    offset = F.regexp_extract(zulu, r"([+-])(\d{2}):(\d{2})$", 0)
-    minutes = F.regexp_extract(zulu, r"([+-])(\d{2}):(\d{2})$", 2).try_cast("int") * 60 + F.regexp_extract(zulu, r"([+-])(\d{2}):(\d{2})$", 3).try_cast("int")
-    sign = F.when(offset.startswith("-"), -1).otherwise(1)
-    with_offset = shifted(F.regexp_replace(zulu, r"[+-]\d{2}:\d{2}$", "").try_cast("timestamp_ntz"), -60 * sign * minutes)
-    naive = F.when(~aware, text.try_cast("timestamp_ntz"))
-    twice, never = ambiguous(naive, zone), nonexistent(naive, zone)
-    ts = F.when(aware, with_offset).when(~twice & ~never, utc(naive, zone))
-    reason = F.when(~aware & naive.isNotNull() & twice, "ambiguous_local_time").when(~aware & naive.isNotNull() & never, "nonexistent_local_time").when(ts.isNull(), "invalid_timestamp")
-    return {"ts": ts, "reason": reason}
+    text, sign = F.trim(F.col(column).cast("string")), F.when(F.col("_offset").startswith("-"), -1).otherwise(1)
+    part = lambda k: F.regexp_extract("_offset", r"([+-])(\d{2}):?(\d{2})$", k).try_cast("int")
+    df = df.withColumn("_stamp", text).withColumn("_mark", F.regexp_extract("_stamp", AWARE, 0))
+    df = df.withColumn("_offset", F.when(F.col("_mark") == "Z", "+00:00").otherwise(F.col("_mark")))
+    aware = F.col("_offset") != ""
+    df = df.withColumn("_wall", F.expr("substring(_stamp, 1, length(_stamp) - length(_mark))").try_cast("timestamp_ntz"))
+    df = df.withColumn("_first", F.when(~aware, utc(F.col("_wall"), zone)))
+    df = df.withColumn("_never", local("_first", zone) != F.col("_wall")).withColumn("_ahead", local(shifted(F.col("_first"), AHEAD), zone))
+    df = df.withColumn("_twice", _twice(F.col("_wall"), F.col("_first"), F.col("_ahead"), zone))
+    at = F.when(aware, shifted(F.col("_wall"), -60 * sign * (part(2) * 60 + part(3)))).when(~F.col("_twice") & ~F.col("_never"), F.col("_first"))
+    why = F.when(F.col("_twice"), "ambiguous_local_time").when(F.col("_never"), "nonexistent_local_time").when(F.col(ts).isNull(), "invalid_timestamp")
+    return df.withColumn(ts, at).withColumn(reason, why).drop("_stamp", "_mark", "_offset", "_wall", "_first", "_never", "_ahead", "_twice")
 
 
 def strict_utc(ts: Column, zone: str) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import share
+from ..sources.store import stored
 from . import estimates
 
 SEED = 20260906
@@ -23,11 +24,9 @@ METRICS = ("hit_rate", "baseline_hit_rate", "conservative_baseline_hit_rate", "c
 def seeded_starts(days: int, block: int, replicates: int, period: str, seed: int = SEED) -> np.ndarray:
     """Starts of the blocks of each replicate (replicate x block). They depend on the period, its days, the
     block length and the seed only, so hypotheses share them, and fewer replicates are a beginning of more."""
-    for v in (days, block, replicates):
-        if isinstance(v, bool) or not isinstance(v, (int, np.integer)) or v < 1:
-            raise ValueError("days, block length and replicates must be positive whole numbers")
-    if block > days:
-        raise ValueError("the period has fewer days than a block")
+    whole = [type(v) is int or isinstance(v, np.integer) for v in (days, block, replicates)]
+    if not all(whole) or replicates < 1 or not 1 <= block <= days:
+        raise ValueError("a block has from one day to those of the period, and there is at least one replicate")
     words = np.frombuffer(sha256(period.encode()).digest(), "<u4").tolist()
     draws = np.random.default_rng([seed, days, block, *words])
     return draws.integers(0, days - block + 1, size=(replicates, ceil(days / block)), dtype=np.int32)
@@ -113,15 +112,14 @@ def block_bootstrap(events: DataFrame, frame: DataFrame, replicates: int = REPLI
     stray = events.select("period_id", "day").join(frame, ["period_id", "day"], "left_anti").limit(1).count()
     if stray or events.where("favorable = 1 and ambiguous = 1").limit(1).count():
         raise ValueError("events must lie on days of the frame and not be both favorable and ambiguous")
-    daily = estimates.cube(events, ["period_id", "day"]).persist()
+    daily = stored(estimates.cube(events, ["period_id", "day"]))
     per_period = estimates.matched(daily.groupBy("period_id", "stratum").agg(*(F.sum(c).alias(c) for c in COUNTS)), ["period_id"], min_controls)
     point = estimates.pooled(per_period, []).first().asDict()
     result = {"point_estimate": point, "block_results": [], "status": "inference_failed", "reasons": [], "confidence_interval": None, "lift_confidence_interval": None, "p_value": 1.0, "seed": seed, "n_resamples_per_block": replicates}
     if not point["sample_size"] or point["conservative_lift"] is None or not point["baseline_support"]:
         result["reasons"].append("candidates or control support are missing")
-        daily.unpersist()
         return result
-    prefix = prefix_sums(daily, frame).persist()
+    prefix = stored(prefix_sums(daily, frame))
     periods = frame.groupBy("period_id").agg(F.count("*").alias("days"))
     shortest = periods.agg(F.min("days")).first()[0]
     for block in blocks:
@@ -135,7 +133,6 @@ def block_bootstrap(events: DataFrame, frame: DataFrame, replicates: int = REPLI
         else:
             result["reasons"].append(f"{block}-day block: undefined or degenerate replicates")
         result["block_results"].append(own)
-    prefix.unpersist(), daily.unpersist()
     if not result["reasons"]:
         result["status"] = "ok"
         for key in ("confidence_interval", "lift_confidence_interval"):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import times as T
 from . import segments
 from .chunks import runs
+from .quality import asserted
 
 HORIZON = 45
 MAGNITUDES = (1, 2, 4, 8, 16, 32)
@@ -182,7 +183,7 @@ def teacher_labels(features: DataFrame, teacher: DataFrame) -> DataFrame:
     known = F.when(side == "long", 1).when(side == "short", -1).otherwise(F.raise_error(F.concat(F.lit("unknown direction "), F.col("direction"))).cast("int"))
     rows = teacher.select(T.strict_utc(wall, T.EASTERN).alias("ts"), known.alias("teacher_direction"), F.col("entry_price").cast("double").alias("entry_price"), "trade_number")
     rows = rows.groupBy("ts").agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in ("teacher_direction", "entry_price", "trade_number")))
-    rows = rows.where(F.assert_true(F.col("_n") == 1, "repeated teacher entry time").isNull()).drop("_n")
+    rows = rows.where(asserted(F.col("_n") == 1, "repeated teacher entry time")).drop("_n")
     return features.join(rows, "ts", "left").withColumn("teacher_direction", F.coalesce("teacher_direction", F.lit(0)))
 
 

@@ -43,15 +43,20 @@ def count_unresolved(audit: DataFrame) -> DataFrame:
 
 
 def boundaries(bars: DataFrame, seconds: int = 60, breaks: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each segment but an instrument's first: the times on both sides, missing bars, what changed."""
+    """A row for each segment but an instrument's first: the times (and source rows) on both sides, missing bars, what
+    changed, and how many rows without a usable time stand between them in the source, after how many such rows."""
     watch = [c for c in (*breaks, "unresolved_before") if c in bars.columns]
-    df = chunks.previous(bars, ["instrument"], "ts", _chunk(seconds), ["ts", *watch]).where("has_prev")
+    named = ["source_row"] if "source_row" in bars.columns else []
+    df = chunks.previous(bars, ["instrument"], "ts", _chunk(seconds), ["ts", *watch, *named]).where("has_prev")
     step = T.epoch("ts") - T.epoch("prev_ts")
     changed = F.lit(False)
     for c in breaks:
         changed = changed | ~F.col(c).eqNullSafe(F.col(f"prev_{c}"))
-    between = (F.col("unresolved_before") - F.col("prev_unresolved_before")) if "unresolved_before" in watch else F.lit(0)
-    out = df.select("instrument", F.col("prev_ts").alias("previous_ts"), "ts", F.greatest(F.floor(step / seconds) - 1, F.lit(0)).cast("bigint").alias("missing_bars"), changed.alias("contract_change"), between.cast("bigint").alias("unresolved_rows"), (step != seconds).alias("_gap"))
+    counted = "unresolved_before" in watch
+    between = F.abs(F.col("unresolved_before") - F.col("prev_unresolved_before")) if counted else F.lit(0)
+    rows = [F.col("prev_source_row").alias("previous_source_row"), F.col("source_row")] if named else []
+    after = [F.least("unresolved_before", "prev_unresolved_before").alias("unresolved_after")] if counted else []
+    out = df.select("instrument", F.col("prev_ts").alias("previous_ts"), "ts", *rows, *after, F.greatest(F.floor(step / seconds) - 1, F.lit(0)).cast("bigint").alias("missing_bars"), changed.alias("contract_change"), between.cast("bigint").alias("unresolved_rows"), (step != seconds).alias("_gap"))
     return out.where("_gap or contract_change or unresolved_rows <> 0").drop("_gap")
 
 

@@ -125,7 +125,7 @@ def fit_clusters(features: DataFrame, end: str = FIRST_FIT_END, k: int = CLUSTER
         raise ValueError("too few distinct rows to fit clusters")
     mean, scale = [stats["m_" + f] for f in SHAPE], [stats["s_" + f] or 1.0 for f in SHAPE]
     scaled = rows.select(*(((F.col(f) - m) / s).alias(f) for f, m, s in zip(SHAPE, mean, scale))).orderBy(*SHAPE)
-    data = VectorAssembler(inputCols=list(SHAPE), outputCol="features").transform(scaled).select("features").persist()
+    data = VectorAssembler(inputCols=list(SHAPE), outputCol="features").transform(scaled).select("features").cache()  # in memory as k-means reads it many times; released below
     models = [KMeans(k=k, seed=seed + r, maxIter=100).fit(data) for r in range(restarts)]
     data.unpersist()
     best = min(models, key=lambda m: m.summary.trainingCost)

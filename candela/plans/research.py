@@ -1,13 +1,15 @@
 """The research plan: audit, rounds over the whole grid of hypotheses, and the final evaluation.
 
-A round is one plan: features once, all candidates matched in one pass, one cooldown, one first passage for
-all magnitudes, one aggregation for all horizons and both directions. Only shortlisted rows, a dozen for each
-family, come to the driver."""
+A round takes features once, matches all candidates in one pass, and has one cooldown, one first passage for
+all magnitudes, one aggregation for all horizons and both directions. Each of these is a table in the shared folder that the
+next is planned from. Only shortlisted rows, a dozen for each family, come to the driver."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,24 +18,25 @@ from pyspark.sql import functions as F
 from ..functions import times as T
 from ..operators import bootstrap, calendar, estimates, features, gates, outcomes, quality, segments, signatures, splits
 from ..sources import bars as io
+from ..sources.store import exists, shared_folder, stored
 from ..streaming import matcher
 from . import tournament
 
 
 def audit(raw: DataFrame, schedule: DataFrame, zone: str = T.EASTERN, convention: str = "start", tick: float = 0.25) -> dict:
-    """Audited, scheduled bars of training and holdout, with the counts of what was refused."""
-    checked = quality.audited(raw, zone, convention, tick).persist()
+    """Audited, scheduled bars of training and holdout, with the audit and the tables of what it counts."""
+    checked = stored(quality.audited(raw, zone, convention, tick))
     breaks = ("contract",) if "contract" in raw.columns else ()
-    cut = segments.segmented(segments.count_unresolved(checked), 60, breaks)
-    inside = calendar.in_session(cut, schedule, 60, breaks)
-    document = quality.summary(checked, cut)
+    document, tables = quality.document(raw, checked, zone, convention, tick, 60, breaks)
+    cut = stored(tables["bars"].drop("extreme_range", "extreme_jump"))
+    inside = stored(calendar.in_session(cut, schedule, 60, breaks))
     gone = calendar.missing(inside, schedule)
     document["calendar"] = {
         "outside_scheduled_minutes_count": calendar.outside(cut, schedule).count(),
         "missing_scheduled_minutes_count": gone.count(),
         "missing_sessions": [str(r[0]) for r in calendar.missing_sessions(inside, schedule).orderBy("session_date").collect()],
     }
-    return {"audit": document, "training": splits.training(inside), "holdout": splits.holdout(inside)}
+    return {"audit": document, "tables": tables, "training": splits.training(inside), "holdout": splits.holdout(inside)}
 
 
 @dataclass
@@ -48,11 +51,11 @@ class Study:
     kept: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        self.bars = self.bars.persist()  # read by features, passages and every round
+        self.bars = stored(self.bars)  # read by features, passages and every round
 
     def features(self) -> DataFrame:
         if "features" not in self.kept:
-            self.kept["features"] = features.core(self.bars).persist()
+            self.kept["features"] = stored(features.core(self.bars))
         return self.kept["features"]
 
     def contexts(self) -> DataFrame:
@@ -63,7 +66,7 @@ class Study:
             rows = roles.where("role = 'validation'").join(F.broadcast(cuts), "fold", "left").fillna(0.0, ["cut_low", "cut_high"])
             label = estimates.stratum(F.col("ts"), F.col("atr14_fraction"), F.col("cut_low"), F.col("cut_high"))
             safe = splits.label_safe(F.col("ts"), F.col("validation_end"), outcomes.HORIZON * self.seconds // 60)
-            self.kept["contexts"] = rows.select("fold", "instrument", "ts", "trading_date", "valid", label.alias("stratum"), safe.alias("safe")).persist()
+            self.kept["contexts"] = stored(rows.select("fold", "instrument", "ts", "trading_date", "valid", label.alias("stratum"), safe.alias("safe")))
         return self.kept["contexts"]
 
     def signals(self, candidates: list[dict]) -> DataFrame:
@@ -71,7 +74,7 @@ class Study:
 
     def populations(self, candidates: list[dict]) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Signals, kept signals, and (signature_id, fold, role, instrument, ts, stratum, trading_date)."""
-        found = self.signals(candidates)
+        found = stored(self.signals(candidates))
         held = outcomes.thinned(found, ["instrument", "signature_id"], outcomes.COOLDOWN_BARS * self.seconds)
         own = self.contexts().where("safe")
         events = held.join(own, ["instrument", "ts"]).withColumn("role", F.lit("candidate"))
@@ -82,15 +85,15 @@ class Study:
     def passage(self) -> DataFrame:
         if "passage" not in self.kept:
             wanted = self.contexts().where("safe")
-            self.kept["passage"] = outcomes.first_passage(self.bars, self.magnitudes, only=wanted).persist()
+            self.kept["passage"] = stored(outcomes.first_passage(self.bars, self.magnitudes, only=wanted))
         return self.kept["passage"]
 
     def scores(self, candidates: list[dict], folds: int = gates.FOLDS) -> DataFrame:
         """A row for each hypothesis: pooled estimates, folds, screen reasons, mean favourable resolution."""
         _, _, population = self.populations(candidates)
-        population = population.persist()
+        population = stored(population)
         passage = self.passage()
-        per_fold = estimates.grid(population, passage)
+        per_fold = stored(estimates.grid(population, passage))
         keys = ["signature_id", "magnitude", "horizon", "direction"]
         eligible = population.where("role = 'candidate'").join(passage.where("eligible").select("instrument", "ts").distinct(), ["instrument", "ts"])
         dates = eligible.groupBy("signature_id", "fold").agg(F.count_distinct("trading_date").alias("event_dates"))
@@ -134,9 +137,7 @@ def prepare_round(root: str | Path, number: int, study: Study, clusters: dict |
 def run_round(root: str | Path, number: int, study: Study, replicates: int = bootstrap.REPLICATES, hashes: dict | None = None) -> dict:
     """Score every hypothesis of a registered round, infer on the shortlist, gate, and write the summary.
 
-    Scores are a Parquet table partitioned by family; a round that broke off is read from it again."""
-    import json
-
+    A round that broke off goes on from the scores and inferences that it has written."""
     directory = Path(root) / f"results/round_{number:02d}"
     if (directory / "summary.json").exists():
         raise FileExistsError("the round was evaluated before")
@@ -144,16 +145,21 @@ def run_round(root: str | Path, number: int, study: Study, replicates: int = boo
     candidates = manifest["candidates"]
     if tournament.digest({"candidates": candidates}) != manifest["definitions_sha256"] or manifest["provenance"] != (hashes or {}):
         raise ValueError("candidates, code or data changed since the round was registered")
-    spark, target = study.bars.sparkSession, directory / "scores.parquet"
-    if not (target / "_SUCCESS").exists():
-        study.scores(candidates).write.mode("overwrite").partitionBy("family").parquet(str(target))
-    scores = spark.read.parquet(str(target))
-    chosen = [r.asDict(recursive=True) for r in gates.shortlist(scores).collect()]
+    spark, ledger = study.bars.sparkSession, Path(root) / "history/candidates.jsonl"
+    scores, failures = scored(directory, study, candidates)
+    for failure in failures:
+        io.append_record(ledger, {"round": number, **failure})
+    chosen = [r.asDict(recursive=True) for r in gates.shortlist(scores).collect()] if scores is not None else []
     definitions = {c["id"]: c["signature"] for c in candidates}
-    verdicts, ledger = [], Path(root) / "history/candidates.jsonl"
+    verdicts = []
     for row in chosen:
+        saved = directory / f"inference/{row['pattern_id']}.json"
         try:
-            own = bootstrap.block_bootstrap(study.events(candidates, row), study.frame, replicates)
+            if saved.exists():
+                own = json.loads(saved.read_text())
+            else:
+                own = bootstrap.block_bootstrap(study.events(candidates, row), study.frame, replicates)
+                io.write_document(saved, own)
             row |= {k: own[k] for k in ("status", "p_value")}
             row |= {"hit_low": None, "hit_high": None, "lift_low": None, "lift_high": None, "blocks": []}
             if own["status"] == "ok":
@@ -171,12 +177,43 @@ def run_round(root: str | Path, number: int, study: Study, replicates: int = boo
             row["status"] = "rejected_inference" if row["gate_reasons"] else "provisional_survivor"
         io.append_record(ledger, {"round": number, "pattern_id": row["pattern_id"], "status": row["status"], "reasons": row["gate_reasons"], "sample_size": row["sample_size"]})
     io.append_record(ledger, {"round": number, "status": "rejected_out_of_scope", "requested_horizon": outcomes.HORIZON + 1, "reason": f"holding window exceeds {outcomes.HORIZON} bars"})
-    scored = scores.count()
-    summary = {"round": number, "hypotheses_scored": scored, "signatures": len(candidates), "families": sorted({c["family"] for c in candidates}), "inference_shortlist": len(chosen), "survivors": [r for r in verdicts if r["status"] == "provisional_survivor"], "evaluable": scored > 0}
+    hypotheses = scores.count() if scores is not None else 0
+    summary = {"round": number, "hypotheses_scored": hypotheses, "signatures": len(candidates), "families": sorted({c["family"] for c in candidates}), "inference_shortlist": len(chosen), "survivors": [r for r in verdicts if r["status"] == "provisional_survivor"], "failures": failures, "evaluable": hypotheses > 0}
     io.write_document(directory / "summary.json", summary)
     return summary
 
 
+def scored(directory: Path, study: Study, candidates: list[dict]) -> tuple[DataFrame | None, list[dict]]:
+    """Scores of all hypotheses, and the signatures that failed.
+
+    All signatures are scored in one plan. Should that fail, each is scored alone, so that one that can't be scored
+    is recorded and costs the others nothing. The scores lie in the shared folder; scores.json in ``directory`` names
+    the tables and their signatures, and what it names isn't scored again."""
+    spark, known = study.bars.sparkSession, directory / "scores.json"
+    parts = json.loads(known.read_text())["parts"] if known.exists() else []
+    parts = [p for p in parts if exists(spark, p["path"])]
+    done = {s for p in parts for s in p["signatures"]}
+    left, failures = [c for c in candidates if c["id"] not in done], []
+
+    def score(own: list[dict]) -> None:
+        path = shared_folder(spark)
+        study.scores(own).write.parquet(path)
+        parts.append({"path": path, "signatures": [c["id"] for c in own]})
+        io.write_document(known, {"parts": parts})
+
+    if left:
+        try:
+            score(left)
+        except Exception:  # noqa: BLE001 one of them can't be scored; which one is found out below
+            for c in left:
+                try:
+                    score([c])
+                except Exception as e:  # noqa: BLE001
+                    failures.append({"signature_id": c["id"], "status": "candidate_error", "reason": f"{type(e).__name__}: {str(e)[:500]}"})
+    tables = [spark.read.parquet(p["path"]) for p in parts]
+    return (reduce(DataFrame.unionByName, tables) if tables else None), failures
+
+
 GATE_SCHEMA = "pattern_id string, sample_size bigint, conservative_lift double, folds array<struct<fold:int,sample_size:bigint,event_dates:bigint,baseline_support:boolean,conservative_lift:double>>, status string, hit_low double, hit_high double, lift_low double, lift_high double, blocks array<struct<block_length:int,status:string,lift_low:double,lift_high:double>>"
 
 
@@ -202,15 +239,16 @@ def prepare_final(root: str | Path, state: tournament.Tournament, training: Data
 def score_period(bars: DataFrame, finalist: dict, cuts: Sequence[float], start=None, seeds: DataFrame | None = None, seconds: int = 60) -> tuple[DataFrame, DataFrame]:
     """Events (role, trading_date, stratum, code, first_touch_bars) of one finalist from ``start`` on, and its last
     kept signal by instrument. ``seeds``, the last kept of training, start the cooldown but aren't events."""
-    known = features.core(bars).persist()
+    bars = stored(bars)
+    known = stored(features.core(bars))
     inside = known if start is None else known.where(F.col("ts") >= start)
     found = signatures.matched(inside, [{"id": finalist["signature_id"], "signature": finalist["signature"]}]).select("instrument", "ts")
-    held = outcomes.thinned(found, ["instrument"], outcomes.COOLDOWN_BARS * seconds, seeds).persist()
+    held = stored(outcomes.thinned(found, ["instrument"], outcomes.COOLDOWN_BARS * seconds, seeds))
     label = estimates.stratum(F.col("ts"), F.col("atr14_fraction"), F.lit(cuts[0]), F.lit(cuts[1]))
     rows = inside.select("instrument", "ts", "trading_date", "valid", label.alias("stratum"))
     events = rows.join(held, ["instrument", "ts"]).withColumn("role", F.lit("candidate"))
     grid = rows.where(outcomes.controls(outcomes.HORIZON * seconds // 60)).withColumn("role", F.lit("control"))
-    both = events.unionByName(grid).drop("valid")
+    both = stored(events.unionByName(grid).drop("valid"))
     passage = outcomes.first_passage(bars, [finalist["magnitude"]], only=both).where("eligible").select("instrument", "ts", "first_code", "first_touch_bars")
     out = both.join(passage, ["instrument", "ts"]).withColumn("code", outcomes.outcome_code(finalist["horizon"]))
     return out, held.groupBy("instrument").agg(F.max("ts").alias("ts"))
@@ -219,7 +257,8 @@ def score_period(bars: DataFrame, finalist: dict, cuts: Sequence[float], start=N
 def final_row(events: DataFrame, finalist: dict, frame: DataFrame | None, replicates: int) -> dict:
     """Estimates, dates, weeks, resolution and, with a day frame, the inference of a finalist's events."""
     target = 1 if finalist["direction"] == "up" else 2
-    rows = events.select(F.lit("holdout").alias("period_id"), F.col("trading_date").cast("date").alias("day"), "role", "stratum", (F.col("code") == target).cast("int").alias("favorable"), (F.col("code") == 3).cast("int").alias("ambiguous"), "code", "first_touch_bars").persist()
+    rows = events.select(F.lit("holdout").alias("period_id"), F.col("trading_date").cast("date").alias("day"), "role", "stratum", (F.col("code") == target).cast("int").alias("favorable"), (F.col("code") == 3).cast("int").alias("ambiguous"), "code", "first_touch_bars")
+    rows = stored(rows)
     out = estimates.matched(estimates.cube(rows), []).first().asDict()
     own = rows.where("role = 'candidate'")
     out |= estimates.dates_and_weeks(own, [], "day").first().asDict()
@@ -232,7 +271,6 @@ def final_row(events: DataFrame, finalist: dict, frame: DataFrame | None, replic
             out["hit_low"], out["hit_high"] = inference["confidence_interval"]
             out["lift_low"], out["lift_high"] = inference["lift_confidence_interval"]
             out["blocks"] = [{"block_length": b["block_length"], "status": b["status"], "lift_low": b["lift_confidence_interval"][0], "lift_high": b["lift_confidence_interval"][1]} for b in inference["block_results"]]
-    rows.unpersist()
     return out
 
 
@@ -250,7 +288,7 @@ def evaluate_final(root: str | Path, spark: SparkSession, training: DataFrame, h
     if finalists:
         marker = root / "history/heldout_access.json"
         marker.parent.mkdir(parents=True, exist_ok=True)
-        training = training.persist()
+        training = stored(training)
         fits = [score_period(training, f, provenance["baseline_cutpoints"], seconds=seconds) for f in finalists]
         described = [final_row(events, f, None, replicates) for (events, _), f in zip(fits, finalists)]
         with marker.open("x") as f:  # fails if the holdout was opened before
@@ -262,7 +300,7 @@ def evaluate_final(root: str | Path, spark: SparkSession, training: DataFrame, h
         ordinals = training.groupBy("instrument").agg(F.max("ts").alias("_last"))
         tail = training.join(ordinals, "instrument").where(T.epoch("_last") - T.epoch("ts") < features.WARMUP * seconds).drop("_last")
         columns = ["instrument", "ts", *io.VALUES, "trading_date"]
-        joined = segments.segmented(tail.select(*columns).unionByName(holdout.select(*columns)), seconds).persist()
+        joined = stored(segments.segmented(tail.select(*columns).unionByName(holdout.select(*columns)), seconds))
         rows = [final_row(score_period(joined, f, provenance["baseline_cutpoints"], cutoff, last, seconds)[0], f, frame, replicates) for f, (_, last) in zip(finalists, fits)]
         names = [c.split()[0] for c in FINAL_SCHEMA.split(", ")]
         table = spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], FINAL_SCHEMA).fillna(1.0, ["p_value"])

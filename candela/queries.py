@@ -14,6 +14,7 @@ from .functions import expr as E
 from .functions import times as T
 from .operators import bootstrap, calendar, estimates, features, gates, outcomes, quality, segments, signatures, splits, synthetic
 from .sources import bars as io
+from .sources.store import shared_folder, stored
 from .streaming import matcher
 
 STEP = 1800
@@ -109,11 +110,7 @@ def s02(spark, sf):
 
 
 def round_trip(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="candela-")
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = shared_folder(spark)
     io.write(bars30(spark, sf), path, kind)
     back = spark.read.json(path) if kind == "jsonl" else spark.read.option("header", True).csv(path) if kind == "csv" else spark.read.parquet(path)
     return back.select("instrument", F.col("ts").cast("timestamp_ntz").alias("ts"), *(F.col(c).cast("double").alias(c) for c in E.VALUES))
@@ -185,10 +182,14 @@ def audit(spark: SparkSession, sf: str) -> DataFrame:
     return quality.audited(raw(spark, sf))
 
 
+def audited(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored, for what reads an audit more than once."""
+    return stored(audit(spark, sf))
+
+
 @query("t02_parsed_times", f"WITH {SQL_AUDIT} SELECT source_row, t AS ts, why AS reason FROM placed")
 def t02(spark, sf):
-    time = T.parsed(F.col("timestamp"), T.EASTERN)
-    return raw(spark, sf).select("source_row", time["ts"].alias("ts"), time["reason"].alias("reason"))
+    return T.with_parsed(raw(spark, sf), "timestamp", T.EASTERN).select("source_row", "ts", "reason")
 
 
 @query("t04_aligned_shifted", f"WITH {SQL_AUDIT} SELECT source_row, second(t) = 0 AS aligned, t - INTERVAL 1 MINUTE AS start_ts, strftime(t, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM placed WHERE t IS NOT NULL")
@@ -196,6 +197,12 @@ def t04(spark, sf):
     return audit(spark, sf).where("ts is not null").select("source_row", T.aligned(F.col("ts")).alias("aligned"), T.shifted(F.col("ts"), -60).alias("start_ts"), T.iso(F.col("ts")).alias("iso"))
 
 
+@query("t07_strict_local", "SELECT event_id, (ts AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS utc, timezone('America/New_York', ts AT TIME ZONE 'UTC') AS wall FROM events")
+def t07(spark, sf):
+    """Wall clocks of a month without a change, which the strict conversion would refuse otherwise."""
+    return events(spark, sf).select("event_id", T.strict_utc(F.col("ts"), T.EASTERN).alias("utc"), T.local("ts").alias("wall"))
+
+
 @query("f04_quarantine", f"WITH {SQL_AUDIT} SELECT source_row, array_to_string(reasons, ',') AS reasons FROM audit WHERE len(reasons) > 0")
 def f04(spark, sf):
     return audit(spark, sf).where(F.size("reasons") > 0).select("source_row", F.array_join("reasons", ",").alias("reasons"))
@@ -218,7 +225,7 @@ def f09(spark, sf):
 
 @query("f14_moved_rows", f"WITH {SQL_AUDIT}, p AS (SELECT source_row, row_number() OVER (ORDER BY source_row) AS place, row_number() OVER (ORDER BY t, source_row) AS sorted_place FROM audit WHERE len(reasons) = 0) SELECT source_row, CAST(place AS BIGINT) AS place, CAST(sorted_place AS BIGINT) AS sorted_place FROM p WHERE place <> sorted_place")
 def f14(spark, sf):
-    return quality.moved(audit(spark, sf))
+    return quality.moved(audited(spark, sf))
 
 
 @query("f13_audit_totals", f"WITH {SQL_AUDIT} SELECT count(*) AS input_rows, count(*) FILTER (len(reasons) = 0) AS output_rows, count(*) FILTER (len(reasons) > 0) AS excluded_rows FROM audit")
@@ -230,7 +237,60 @@ def f13(spark, sf):
 b AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL THEN 0 WHEN t - lag(t) OVER w <> INTERVAL 1 MINUTE OR contract IS DISTINCT FROM lag(contract) OVER w OR ub <> lag(ub) OVER w THEN 1 ELSE 0 END AS brk FROM k WINDOW w AS (ORDER BY t))
 SELECT source_row, CAST(sum(brk) OVER (ORDER BY t) AS BIGINT) AS segment_id FROM b""")
 def g03(spark, sf):
-    return segments.segmented(segments.count_unresolved(audit(spark, sf)), 60, ("contract",)).select("source_row", "segment_id")
+    return segments.segmented(segments.count_unresolved(audited(spark, sf)), 60, ("contract",)).select("source_row", "segment_id")
+
+
+@query("f13_boundaries", f"""WITH {SQL_AUDIT}, u AS (SELECT *, sum(CASE WHEN why IS NOT NULL OR second(t) <> 0 THEN 1 ELSE 0 END) OVER (ORDER BY source_row) AS ub FROM audit), k AS (SELECT *, lag(t) OVER w AS p, lag(source_row) OVER w AS pr, lag(contract) OVER w AS pc, lag(ub) OVER w AS pu FROM u WHERE len(reasons) = 0 WINDOW w AS (ORDER BY t))
+SELECT p AS previous_ts, t AS ts, pr AS previous_source_row, source_row, CAST(greatest((epoch(t) - epoch(p)) // 60 - 1, 0) AS BIGINT) AS missing_bars, contract IS DISTINCT FROM pc AS contract_change, CAST(abs(ub - pu) AS BIGINT) AS unresolved_rows FROM k WHERE p IS NOT NULL AND (epoch(t) - epoch(p) <> 60 OR contract IS DISTINCT FROM pc OR ub <> pu)""")
+def f13_boundaries(spark, sf):
+    return segments.boundaries(segments.count_unresolved(audited(spark, sf)), 60, ("contract",)).drop("instrument", "unresolved_after")
+
+
+@query("f13_document", f"""WITH {SQL_AUDIT}, m AS (SELECT row_number() OVER (ORDER BY source_row) AS a, row_number() OVER (ORDER BY t, source_row) AS b FROM audit WHERE len(reasons) = 0)
+SELECT count(*) AS input_rows, count(*) FILTER (len(reasons) = 0) AS output_rows, count(*) FILTER (len(reasons) > 0) AS excluded_rows, (SELECT count(*) FROM m WHERE a <> b) AS moved_rows, count(*) FILTER (abs(close / 0.25 - round_even(close / 0.25, 0)) > 1e-8) AS tick_grid_rows, CAST(0 AS BIGINT) AS imputed_rows, 'America/New_York' AS source_timezone, '' AS ignored_source_columns FROM audit""")
+def f13_document(spark, sf):
+    """Figures and settings of the audit's document."""
+    own = raw(spark, sf)
+    out, _ = quality.document(own, audited(spark, sf), breaks=("contract",))
+    names = ("input_rows", "output_rows", "excluded_rows", "moved_rows", "tick_grid_rows", "imputed_rows")
+    row = (*(out[n] for n in names), out["timestamp_normalization"]["source_timezone"], ",".join(out["ignored_source_columns"]))
+    return spark.createDataFrame([row], ", ".join(f"{n} bigint" for n in names) + ", source_timezone string, ignored_source_columns string")
+
+
+@query("f10_strict_bars", f"WITH {SQL_AUDIT} SELECT source_row, t AS ts, close FROM audit WHERE len(reasons) = 0 AND abs(close / 0.25 - round_even(close / 0.25, 0)) <= 1e-8")
+def f10(spark, sf):
+    """Kept bars on the tick grid pass the strict check, which would raise at any other."""
+    return quality.validated(quality.kept(audit(spark, sf)).where(F.size("off_tick") == 0), 0.25).select("source_row", "ts", "close")
+
+
+@query("s05_json_lines", """SELECT CAST(row_number() OVER (ORDER BY event_id) AS BIGINT) AS line, CASE WHEN event_id % 7 = 0 THEN 'not a JSON object' WHEN event_id % 5 = 0 THEN 'missing close' END AS reason FROM events QUALIFY reason IS NOT NULL""")
+def s05(spark, sf):
+    """Lines that no matcher takes, by their number, in JSON lines written from the events."""
+    own = events(spark, sf)
+    value = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), *(F.col("value").alias(c) for c in ("open", "high", "low")), F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("close"), F.lit(1.0).alias("volume")))
+    path = shared_folder(spark)
+    own.orderBy("event_id").select(F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("{broken "), "event_id")).otherwise(value).alias("value")).write.text(path)
+    return io.refused_lines(io.read_jsonl_bars(spark, path))
+
+
+@query("s07_vendor_rows", """WITH b AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE date_trunc('minute', ts) END AS wall, floor(value) + 100 AS p, event_id % 13 = 0 AS broken FROM events)
+SELECT ((wall AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC') - INTERVAL 1 MINUTE AS ts, p AS open, p + 1 AS high, p - 1 AS low, p AS close, count(*) AS rows FROM b WHERE wall IS NOT NULL AND NOT broken GROUP BY ALL""")
+def s07(spark, sf):
+    """Vendor files written from the events and read back; the month has no change of the clock."""
+    p, i = F.floor("value").cast("double") + 100, F.col("event_id")
+    stamp = F.when(i % 11 == 0, "no time").otherwise(F.date_format(F.date_trunc("minute", "ts"), "MM/dd/yyyy HH:mm"))
+    path = shared_folder(spark)
+    events(spark, sf).select(stamp.alias("timestamp ET"), p.alias("open"), F.when(i % 13 == 0, p - 2).otherwise(p + 1).alias("high"), (p - 1).alias("low"), p.alias("close"), F.lit(5.0).alias("volume")).write.option("header", True).csv(path)
+    bars, _ = io.read_vendor_csv(spark, path)
+    return bars.groupBy("ts", "open", "high", "low", "close").agg(F.count("*").alias("rows"))
+
+
+@query("s01_source_order", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS source_row FROM orders")
+def s01_order(spark, sf):
+    """The ordinal of rows of CSV files in their own order."""
+    path = shared_folder(spark)
+    spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderpriority").orderBy("o_orderkey").write.option("header", True).csv(path)
+    return io.read_csv(spark, path, ordinal=True).select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "source_row")
 
 
 # calendar and splits -------------------------------------------------------------------------------------------------
@@ -249,22 +309,20 @@ def c02(spark, sf):
     return calendar.in_session(bars30(spark, sf), schedule(spark, sf), STEP).select("ts", "trading_date", "segment_id", "warmup_available")
 
 
-@query("c03_missing_bars", f"{SQL_DAYS} SELECT session_date, ts FROM expected WHERE ts NOT IN (SELECT ts FROM bars)")
-def c03(spark, sf):
-    return calendar.missing(bars30(spark, sf), schedule(spark, sf), STEP).select("session_date", "ts")
+SQL_MINUTES = f"""WITH bars AS ({sql_bars(60)}), span AS (SELECT min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS b FROM bars), days AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS d FROM span),
+expected AS (SELECT d AS session_date, CAST(d AS TIMESTAMP) + to_seconds(28800 + 60 * k) AS ts FROM days, range(0, 720) t(k) WHERE NOT (60 * k >= 14400 AND 60 * k < 18000))"""
 
 
-@query("c04_missing_intervals", f"""WITH bars AS (SELECT * FROM ({sql_bars(7200, "event_type")}) WHERE instrument = 'purchase'), span AS (SELECT min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS b FROM bars), expected AS (SELECT CAST(d AS TIMESTAMP) + to_seconds(7200 * k) AS ts FROM (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY)) AS d FROM span), range(0, 12) t(k)),
-gone AS (SELECT ts, epoch(ts) // 7200 - row_number() OVER (ORDER BY ts) AS run FROM expected WHERE ts NOT IN (SELECT ts FROM bars)) SELECT min(ts) AS "start", max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS bars FROM gone GROUP BY run""")
-def c04(spark, sf):
-    own = bars2h(spark, sf).where("instrument = 'purchase'")
-    return calendar.missing_intervals(calendar.missing(own, calendar.daily_schedule(own, 0, 86400), 7200), 7200).select("start", "end", "bars")
+@query("c03_missing_bars", f"{SQL_MINUTES} SELECT session_date, ts FROM expected WHERE ts NOT IN (SELECT ts FROM bars)")
+def c03(spark, sf):
+    own = stored(io.from_events(events(spark, sf), 60))
+    return calendar.missing(own, calendar.daily_schedule(own, 8 * 3600, 20 * 3600, (12 * 3600, 13 * 3600)), 60).select("session_date", "ts")
 
 
-@query("c04_missing_intervals_whole")
-def c04_whole(spark, sf):
-    """Of all event types."""
-    own = bars2h(spark, sf)
+@query("c04_missing_intervals", f"""WITH bars AS ({sql_bars(7200, "event_type")}), span AS (SELECT min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS b FROM bars), names AS (SELECT DISTINCT instrument FROM bars), expected AS (SELECT instrument, CAST(d AS TIMESTAMP) + to_seconds(7200 * k) AS ts FROM names, (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY)) AS d FROM span), range(0, 12) t(k)),
+gone AS (SELECT instrument, ts, epoch(ts) // 7200 - row_number() OVER (PARTITION BY instrument ORDER BY ts) AS run FROM expected ANTI JOIN bars USING (instrument, ts)) SELECT instrument, min(ts) AS "start", max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS bars FROM gone GROUP BY instrument, run""")
+def c04(spark, sf):
+    own = stored(bars2h(spark, sf))
     return calendar.missing_intervals(calendar.missing(own, calendar.daily_schedule(own, 0, 86400), 7200), 7200).select("instrument", "start", "end", "bars")
 
 
@@ -396,7 +454,7 @@ def m04(spark, sf):
 
 @query("m05_fitted_clusters")
 def m05(spark, sf):
-    a = signatures.fit_clusters(core30(spark, sf), "2024-01-20 00:00:00", restarts=2)
+    a = signatures.fit_clusters(stored(core30(spark, sf)), "2024-01-20 00:00:00")
     return spark.createDataFrame([(k, *c) for k, c in enumerate(a["centroids"])], "cluster int, " + ", ".join(f"{f} double" for f in a["features"]))
 
 
@@ -406,20 +464,38 @@ def m07(spark, sf):
     return spark.createDataFrame(rows, "round int, family string, id string").groupBy("round", "family").agg(F.count_distinct("id").alias("candidates"))
 
 
+SQL_GRIDS = """WITH s AS (SELECT unnest([-1, 1]) AS s), w AS (SELECT unnest([20, 60]) AS w), d AS (SELECT unnest(['up', 'down']) AS d), q AS (SELECT unnest([0.25, 0.5]) AS q),
+a AS (SELECT e, s, t FROM (SELECT unnest([0.5, 1.0, 1.5, 2.0]) AS e), s, (SELECT unnest([-1, 1]) AS t)), b AS (SELECT v, r, s FROM (SELECT unnest([0.0, 1.0, 2.0]) AS v), (SELECT unnest([0.0, 1.0]) AS r), s),
+c AS (SELECT s, e, q FROM s, (SELECT unnest([0.75, 1.25, 1.75, 2.25]) AS e), q), x AS (SELECT w, d, q.q AS x, y.q AS b FROM w, d, q, q y), g AS (SELECT s, e, r FROM s, (SELECT unnest([0.25, 0.5, 0.75]) AS e), (SELECT unnest([1.0, 1.5]) AS r)), h AS (SELECT v, q, k FROM (SELECT unnest([-0.5, 0.5, 1.5]) AS v), q, (SELECT unnest(['upper', 'lower']) AS k)),
+u AS (SELECT 1 AS round, 'price_state' AS family, 'price_z20' AS feature, CASE WHEN s > 0 THEN 'ge' ELSE 'le' END AS op, s * e AS value FROM a UNION ALL SELECT 1, 'price_state', 'trend20_60', CASE WHEN t > 0 THEN 'ge' ELSE 'lt' END, 0 FROM a
+  UNION ALL SELECT 2, 'swing_breakout', 'breakout_' || d || w || '_atr', 'ge', e FROM w, d, (SELECT unnest([0.0, 0.25, 0.5, 1.0]) AS e) UNION ALL SELECT 2, 'volume_range', 'volume_z20', 'ge', v FROM b UNION ALL SELECT 2, 'volume_range', 'range_z20', 'ge', r FROM b UNION ALL SELECT 2, 'volume_range', 'body_fraction', CASE WHEN s > 0 THEN 'ge' ELSE 'lt' END, 0 FROM b
+  UNION ALL SELECT 3, 'price_state', 'price_z20', CASE WHEN s > 0 THEN 'ge' ELSE 'le' END, s * e FROM c UNION ALL SELECT 3, 'price_state', CASE WHEN s > 0 THEN 'upper' ELSE 'lower' END || '_wick_fraction', 'ge', q FROM c
+  UNION ALL SELECT 3, 'swing_breakout', 'breakout_' || d || w || '_atr', 'ge', -x FROM x UNION ALL SELECT 3, 'swing_breakout', 'breakout_' || d || w || '_atr', 'lt', 0 FROM x UNION ALL SELECT 3, 'swing_breakout', 'body_fraction', CASE d WHEN 'up' THEN 'le' ELSE 'ge' END, CASE d WHEN 'up' THEN -b ELSE b END FROM x
+  UNION ALL SELECT 4, 'candle_geometry', 'body_fraction', CASE WHEN s > 0 THEN 'ge' ELSE 'le' END, s * e FROM g UNION ALL SELECT 4, 'candle_geometry', 'range_to_atr14', 'ge', r FROM g UNION ALL SELECT 4, 'volume_range', 'volume_z20', 'ge', v FROM h UNION ALL SELECT 4, 'volume_range', k || '_wick_fraction', 'ge', q FROM h UNION ALL SELECT 4, 'volume_range', 'range_to_atr14', 'ge', 1 FROM h)"""
+
+
+@query("m08_grid_conditions", f"{SQL_GRIDS} SELECT CAST(round AS INTEGER) AS round, family, feature, op, round(CAST(value AS DOUBLE), 6) + 0.0 AS value, count(*) AS uses FROM u GROUP BY ALL")
+def m08(spark, sf):
+    """Every condition of the candidates of all rounds, and how many candidates use it."""
+    rows = [(n, c["family"], r["feature"], r["op"], r["value"]) for n in range(1, 5) for c in signatures.grid(n) for r in c["signature"]["conditions"]]
+    return rounded(spark.createDataFrame(rows, "round int, family string, feature string, op string, value double"), "value").groupBy("round", "family", "feature", "op", "value").agg(F.count("*").alias("uses"))
+
+
 BREAKOUTS = [c for c in signatures.grid(2) if c["family"] == "swing_breakout"]
 
 
-def _breakout_sql() -> str:
-    rows = []
-    for c in BREAKOUTS:
-        r = c["signature"]["conditions"][0]
-        rows.append(f"SELECT '{c['id']}' AS signature_id, instrument, ts FROM core WHERE valid AND {r['feature']} >= {r['value']}")
-    return " UNION ALL ".join(rows)
+GRIDS = [c for n in (2, 3, 4) for c in signatures.grid(n)]  # the rounds that need no fitted clusters
+
+
+def _candidates_sql(candidates: list[dict]) -> str:
+    signs = {"ge": ">=", "gt": ">", "le": "<=", "lt": "<", "eq": "="}
+    tests = lambda c: " AND ".join(f"{r['feature']} {signs[r['op']]} {r['value']}" for r in c["signature"]["conditions"])
+    return " UNION ALL ".join(f"SELECT '{c['id']}' AS signature_id, instrument, ts FROM core WHERE valid AND {tests(c)}" for c in candidates)
 
 
-@query("m11_all_candidates", f"{CORE30}, m AS ({_breakout_sql()}) SELECT signature_id, count(*) AS matches FROM m GROUP BY 1")
+@query("m11_all_candidates", f"{CORE30}, m AS ({_candidates_sql(GRIDS)}) SELECT signature_id, count(*) AS matches FROM m GROUP BY 1")
 def m11(spark, sf):
-    return signatures.matched(core30(spark, sf), BREAKOUTS).groupBy("signature_id").agg(F.count("*").alias("matches"))
+    return signatures.matched(core30(spark, sf), GRIDS).groupBy("signature_id").agg(F.count("*").alias("matches"))
 
 
 # outcomes ------------------------------------------------------------------------------------------------------------
@@ -453,7 +529,8 @@ SQL_THIN = f"""sig AS (SELECT ts FROM core WHERE valid AND price_z20 >= 1.0), th
 
 
 def slice_signals(spark: SparkSession, sf: str) -> DataFrame:
-    return signatures.matched(core30(spark, sf), [SLICE]).select("instrument", "signature_id", "ts")
+    """Stored, as the cooldown reads them twice."""
+    return stored(signatures.matched(core30(spark, sf), [SLICE]).select("instrument", "signature_id", "ts"))
 
 
 def slice_thin(spark: SparkSession, sf: str) -> DataFrame:
@@ -500,17 +577,11 @@ def o10(spark, sf):
     return core30(spark, sf).where(outcomes.controls(PURGE)).select("ts")
 
 
-TEACHER_SQL = "teacher AS (SELECT event_id AS trade_number, time_bucket(INTERVAL 30 MINUTE, ts) AS t, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS teacher_direction, value AS entry_price FROM events WHERE event_id % 50 = 0)"
+TEACHER_SQL = "teacher AS (SELECT event_id AS trade_number, time_bucket(INTERVAL 30 MINUTE, ts) AS t, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS teacher_direction, value AS entry_price FROM events)"
 
 
 @query("o11_teacher_join", f"{WITH30}, {TEACHER_SQL}, one AS (SELECT t, max(trade_number) AS trade_number, arg_max(teacher_direction, trade_number) AS teacher_direction, arg_max(entry_price, trade_number) AS entry_price FROM teacher GROUP BY t) SELECT ts, coalesce(teacher_direction, 0) AS teacher_direction, {r6('entry_price')} AS entry_price, trade_number FROM cut LEFT JOIN one ON ts = t")
 def o11(spark, sf):
-    return teacher_joined(spark, sf, events(spark, sf).where("event_id % 50 = 0"))
-
-
-@query("o11_teacher_join_whole")
-def o11_whole(spark, sf):
-    """Every event is a trade."""
     return teacher_joined(spark, sf, events(spark, sf))
 
 
@@ -558,7 +629,7 @@ rates AS (SELECT *, f / nullif(n, 0) AS hit_rate, CASE WHEN n > 0 AND empty_ = 0
 
 def slice_events(spark: SparkSession, sf: str) -> DataFrame:
     s = study(spark, sf)
-    _, _, population = s.populations([SLICE])
+    population = stored(s.populations([SLICE])[2])
     code = outcomes.outcome_code(30)
     rows = population.join(s.passage().where("eligible").select("instrument", "ts", "magnitude", "first_code", "first_touch_bars"), ["instrument", "ts"])
     return rows.withColumn("favorable", (code == 1).cast("int")).withColumn("ambiguous", (code == 3).cast("int"))
@@ -609,22 +680,33 @@ est AS (SELECT fold, magnitude, h, d, sum(cn) AS n, sum(cf) AS f, sum(CASE WHEN
 SELECT CAST(fold AS INTEGER) AS fold, magnitude, CAST(h AS INTEGER) AS horizon, d AS direction, CAST(n AS BIGINT) AS sample_size, CAST(f AS BIGINT) AS favorable_count, {r6("f / n")} AS hit_rate, {r6("CASE WHEN e = 0 THEN b / n END")} AS baseline_hit_rate, {r6("CASE WHEN e = 0 THEN w / n END")} AS conservative_baseline_hit_rate FROM est""")
 def a16(spark, sf):
     s = study(spark, sf)
-    _, _, population = s.populations([SLICE])
+    population = stored(s.populations([SLICE])[2])
     columns = ("hit_rate", "baseline_hit_rate", "conservative_baseline_hit_rate")
     return rounded(estimates.grid(population, s.passage()), *columns).select("fold", "magnitude", "horizon", "direction", "sample_size", "favorable_count", *columns)
 
 
-@query("k13_round_scores")
+SQL_ROUND = f"""{CORE30}, {SQL_CONTEXT}, sig AS ({_candidates_sql(signatures.grid(2))}), thin AS (SELECT signature_id, min(ts) AS ts FROM sig GROUP BY 1 UNION ALL SELECT signature_id, (SELECT min(s.ts) FROM sig s WHERE s.signature_id = thin.signature_id AND s.ts >= thin.ts + INTERVAL {45 * STEP} SECOND) FROM thin WHERE thin.ts IS NOT NULL), {SQL_PASSAGE},
+own AS (SELECT signature_id, fold, stratum, magnitude, first_code, first_touch_bars FROM ctx JOIN thin USING (ts) JOIN passage USING (ts) WHERE safe AND eligible), ctl AS (SELECT fold, stratum, magnitude, first_code, first_touch_bars FROM ctx JOIN passage USING (ts) WHERE safe AND valid AND eligible AND (epoch(ts) // 60) % {PURGE} = 0),
+hd AS (SELECT h, d, CASE d WHEN 'up' THEN 1 ELSE 2 END AS k FROM range(1, 46) t(h), (SELECT unnest(['up', 'down']) AS d)),
+cc AS (SELECT signature_id, fold, stratum, magnitude, h, d, count(*) AS cn, count(*) FILTER (first_touch_bars <= h AND first_code = k) AS cf FROM own, hd GROUP BY 1, 2, 3, 4, 5, 6),
+kk AS (SELECT fold, stratum, magnitude, h, d, count(*) AS kn, count(*) FILTER (first_touch_bars <= h AND first_code = k) AS kf, count(*) FILTER (first_touch_bars <= h AND first_code = 3) AS ka FROM ctl, hd GROUP BY 1, 2, 3, 4, 5),
+est AS (SELECT signature_id, fold, magnitude, h, d, sum(cn) AS n, sum(cf) AS f, count(*) FILTER (kn IS NULL) AS e, sum(cn * kf / kn) AS b, sum(cn * (kf + ka) / kn) AS w FROM cc LEFT JOIN kk USING (fold, stratum, magnitude, h, d) GROUP BY 1, 2, 3, 4, 5),
+x AS (SELECT *, f / n AS hit_rate, CASE WHEN e = 0 THEN b / n END AS baseline_hit_rate, CASE WHEN e = 0 THEN w / n END AS conservative_baseline_hit_rate FROM est), y AS (SELECT *, hit_rate - baseline_hit_rate AS lift, hit_rate - conservative_baseline_hit_rate AS conservative_lift FROM x)
+SELECT sha256(signature_id || '|' || CAST(magnitude AS VARCHAR) || '|' || h || '|' || d) AS pattern_id, signature_id, magnitude, CAST(h AS INTEGER) AS horizon, d AS direction, CAST(sum(n) AS BIGINT) AS sample_size, {", ".join(f"{r6(f'CASE WHEN count(*) FILTER ({c} IS NULL) = 0 THEN sum({c} * n) / sum(n) END')} AS {c}" for c in RATE_COLUMNS)} FROM y GROUP BY signature_id, magnitude, h, d"""
+
+
+@query("k13_round_scores", SQL_ROUND)
 def k13(spark, sf):
-    scores = study(spark, sf).scores(BREAKOUTS)
-    return scores.select("pattern_id", "signature_id", "magnitude", "horizon", "direction", "sample_size", *RATE_COLUMNS, "screen_reasons")
+    """All hypotheses of a whole round."""
+    scores = study(spark, sf).scores(signatures.grid(2))
+    return rounded(scores.select("pattern_id", "signature_id", "magnitude", "horizon", "direction", "sample_size", *RATE_COLUMNS), *RATE_COLUMNS)
 
 
 # resampling and gates ---------------------------------------------------------------------------------------------------
 
 SQL_DAILY = """daily AS (SELECT CAST(ts AS DATE) AS day, CAST(hour(ts) // 12 AS VARCHAR) AS stratum, count(*) FILTER (event_id % 3 = 0) AS cn, count(*) FILTER (event_id % 3 = 0 AND value > 100) AS cf, count(*) FILTER (event_id % 3 = 0 AND value < 5) AS ca, count(*) FILTER (event_id % 3 <> 0) AS kn, count(*) FILTER (event_id % 3 <> 0 AND value > 100) AS kf, count(*) FILTER (event_id % 3 <> 0 AND value < 5) AS ka FROM events GROUP BY 1, 2),
 frame AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i FROM (SELECT DISTINCT day FROM daily)), nd AS (SELECT count(*) AS days FROM frame),
-draws AS (SELECT r, b, (r * 7919 + b * 104729 + r * b * 31) % 1000003 % (days - 5 + 1) AS s, least(5, days - b * 5) AS len FROM nd, range(0, 200) t(r), range(0, 1000) u(b) WHERE b < (days + 4) // 5),
+draws AS (SELECT r, b, (r * 7919 + b * 104729 + r * b * 31) % 1000003 % (days - 5 + 1) AS s, least(5, days - b * 5) AS len FROM nd, range(0, 9999) t(r), range(0, 1000) u(b) WHERE b < (days + 4) // 5),
 rep AS (SELECT r, stratum, sum(cn) AS cn, sum(cf) AS cf, sum(kn) AS kn, sum(kf) AS kf, sum(ka) AS ka FROM draws JOIN frame ON i >= s AND i < s + len JOIN daily USING (day) GROUP BY 1, 2),
 rates AS (SELECT r, sum(cf) / sum(cn) AS hit, sum(cn * kf / nullif(kn, 0)) / sum(cn) AS base, sum(cn * (kf + ka) / nullif(kn, 0)) / sum(cn) AS wide FROM rep GROUP BY r)"""
 
@@ -635,10 +717,10 @@ def daily_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def replicated(spark: SparkSession, sf: str) -> DataFrame:
-    daily = estimates.cube(daily_events(spark, sf), ["period_id", "day"])
+    daily = stored(estimates.cube(daily_events(spark, sf), ["period_id", "day"]))
     days = daily.select("period_id", "day").distinct()
     frame = days.withColumn("day_index", F.row_number().over(Window.partitionBy("period_id").orderBy("day")) - 1)
-    drawn = bootstrap.arithmetic_starts(frame.groupBy("period_id").agg(F.count("*").alias("days")), 5, 200)
+    drawn = bootstrap.arithmetic_starts(frame.groupBy("period_id").agg(F.count("*").alias("days")), 5, bootstrap.REPLICATES)
     return bootstrap.replicate_rates(bootstrap.prefix_sums(daily, frame), drawn)
 
 
@@ -661,16 +743,9 @@ def a13(spark, sf):
     return spark.createDataFrame([(b["block_length"], b["status"], b["p_value"], *(b["lift_confidence_interval"] or (None, None))) for b in out["block_results"]], "block_length int, status string, p_value double, lift_low double, lift_high double")
 
 
-@query("a14_holm_whole")
-def a14_whole(spark, sf):
-    """Over all parts."""
-    rows = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 37 % 101 / 2000.0).alias("p"))
-    return rounded(bootstrap.holm(rows, "p", ["id"], adjusted="adjusted"), "adjusted", digits=9).select("id", "adjusted")
-
-
-@query("a14_holm", "WITH p AS (SELECT p_partkey AS id, (p_size * 37 % 101) / 2000.0 AS p FROM part WHERE p_size <= 12), k AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS n FROM p) SELECT id, round(least(1.0, max(p * (n - k + 1)) OVER (ORDER BY k)), 9) AS adjusted FROM k")
+@query("a14_holm", "WITH p AS (SELECT p_partkey AS id, (p_size * 37 % 101) / 2000.0 AS p FROM part), k AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS n FROM p) SELECT id, round(least(1.0, max(p * (n - k + 1)) OVER (ORDER BY k)), 9) AS adjusted FROM k")
 def a14(spark, sf):
-    rows = spark.read.parquet(f"{sf}/part.parquet").where("p_size <= 12").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 37 % 101 / 2000.0).alias("p"))
+    rows = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 37 % 101 / 2000.0).alias("p"))
     return rounded(bootstrap.holm(rows, "p", ["id"], adjusted="adjusted"), "adjusted", digits=9).select("id", "adjusted")
 
 
@@ -719,16 +794,9 @@ def k06(spark, sf):
     return gates.finalists(hypotheses(spark, sf)).select("pattern_id")
 
 
-@query("k09_confirmation", f"""WITH {SQL_HYP}, pre AS (SELECT *, {SQL_HOLDOUT.format(p="0")} AS pre FROM inf WHERE k % 31 = 0), q AS (SELECT *, CASE WHEN len(pre) = 0 THEN (k % 41) / 100000.0 ELSE 1.0 END AS p FROM pre), o AS (SELECT *, row_number() OVER (ORDER BY p, pattern_id) AS r, count(*) OVER () AS m FROM q), a AS (SELECT *, least(1.0, max(p * (m - r + 1)) OVER (ORDER BY r)) AS adj FROM o)
+@query("k09_confirmation", f"""WITH {SQL_HYP}, pre AS (SELECT *, {SQL_HOLDOUT.format(p="0")} AS pre FROM inf), q AS (SELECT *, CASE WHEN len(pre) = 0 THEN (k % 41) / 100000.0 ELSE 1.0 END AS p FROM pre), o AS (SELECT *, row_number() OVER (ORDER BY p, pattern_id) AS r, count(*) OVER () AS m FROM q), a AS (SELECT *, least(1.0, max(p * (m - r + 1)) OVER (ORDER BY r)) AS adj FROM o)
 SELECT pattern_id, {r6("adj", 9)} AS adjusted_p_value, CASE WHEN len({SQL_HOLDOUT.format(p="adj")}) = 0 THEN 'confirmed' ELSE 'rejected_holdout' END AS verdict FROM a""")
 def k09(spark, sf):
-    rows = hypotheses(spark, sf).where(F.substring("pattern_id", 2, 20).cast("bigint") % 31 == 0)
-    return rounded(gates.confirmed(rows, True).select("pattern_id", "adjusted_p_value", "verdict"), "adjusted_p_value", digits=9)
-
-
-@query("k09_confirmation_whole")
-def k09_whole(spark, sf):
-    """Adjusted over the whole family."""
     return rounded(gates.confirmed(hypotheses(spark, sf), True).select("pattern_id", "adjusted_p_value", "verdict"), "adjusted_p_value", digits=9)
 
 
@@ -759,10 +827,23 @@ def y01(spark, sf):
     return rounded(synthetic.calibration(cut30(spark, sf), STEP).select("training_rows", "contiguous_returns", *columns), *columns)
 
 
+PROFILE = {"schema_version": synthetic.VERSION, "calibrated": True, "tick_size": 0.25, "point_value": 20, "sigma_log_return": 0.0004, "return_ar1": -0.02, "volatility_persistence": 0.9, "upper_wick_fraction_mean": 0.0002, "lower_wick_fraction_mean": 0.0002, "log_volume_mean": 5.0, "log_volume_std": 0.8}
+
+
 @query("y03_synthetic_bars")
 def y03(spark, sf):
-    own = {"schema_version": synthetic.VERSION, "calibrated": True, "tick_size": 0.25, "point_value": 20, "sigma_log_return": 0.0004, "return_ar1": -0.02, "volatility_persistence": 0.9, "upper_wick_fraction_mean": 0.0002, "lower_wick_fraction_mean": 0.0002, "log_volume_mean": 5.0, "log_volume_std": 0.8}
-    return synthetic.dataset(spark, own, 20, 200)
+    return synthetic.dataset(spark, PROFILE)
+
+
+@query("y03_invariants", "SELECT split, CAST(sequences AS BIGINT) AS sequences, CAST(sequences * 1000 AS BIGINT) AS bars, CAST(0 AS BIGINT) AS broken, CAST(0 AS BIGINT) AS jumps FROM (VALUES ('train', 70), ('validation', 15), ('test', 15)) t(split, sequences)")
+def y03i(spark, sf):
+    """What must hold of generated bars, whatever is drawn: canonical, on the grid, each opening where the last closed."""
+    w = Window.partitionBy("instrument").orderBy("ts")
+    off = F.lit(False)
+    for c in E.PRICES:
+        off = off | E.off_grid(F.col(c), 0.25) | (F.col(c) <= 0)
+    rows = synthetic.dataset(spark, PROFILE).withColumn("_before", F.lag("close").over(w))
+    return rows.groupBy("split").agg(F.count_distinct("instrument").alias("sequences"), F.count("*").alias("bars"), F.count_if(off | E.high_below() | E.low_above() | (F.col("volume") < 0)).alias("broken"), F.count_if(F.col("open") != F.col("_before")).alias("jumps"))
 
 
 @query("y04_trades", "SELECT o_orderkey, round(((o_totalprice - floor(o_totalprice)) * 100 * (CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END) - 0.5) * 20 - 4.5, 4) AS profit FROM orders")
@@ -778,15 +859,18 @@ SLICE_SQL = f"{CORE30}, {SQL_THIN}, {SQL_PASSAGE} SELECT magnitude, coalesce(fir
 
 @query("e01_minimum_slice", SLICE_SQL)
 def e01(spark, sf):
-    held = slice_thin(spark, sf)
-    rows = outcomes.first_passage(cut30(spark, sf), MAGNITUDES, only=held).where("eligible")
+    cut = stored(cut30(spark, sf))
+    found = stored(signatures.matched(features.core(cut), [SLICE]).select("instrument", "signature_id", "ts"))
+    held = stored(outcomes.thinned(found, ["instrument", "signature_id"], 45 * STEP))
+    rows = outcomes.first_passage(cut, MAGNITUDES, only=held).where("eligible")
     return rows.groupBy("magnitude", F.coalesce("first_direction", F.lit("none")).alias("outcome")).agg(F.count("*").alias("events"))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Signals of a rule on weekly unit-price bars, thinned, and what the price touches first."""
-    cut = segments.segmented(io.from_trades(spark.read.parquet(f"{sf}/lineitem.parquet"), 7 * 86400), 7 * 86400)
-    held = outcomes.thinned(signatures.matched(features.core(cut), [signatures.rules("price_state", ("price_z20", "ge", 0.0))]).select("instrument", "signature_id", "ts"), ["instrument", "signature_id"], 7 * 86400)
+    cut = stored(segments.segmented(io.from_trades(spark.read.parquet(f"{sf}/lineitem.parquet"), 7 * 86400), 7 * 86400))
+    found = stored(signatures.matched(features.core(cut), [signatures.rules("price_state", ("price_z20", "ge", 0.0))]).select("instrument", "signature_id", "ts"))
+    held = stored(outcomes.thinned(found, ["instrument", "signature_id"], 7 * 86400))
     rows = outcomes.first_passage(cut, (250, 500, 1000), only=held)
     return rows.groupBy("magnitude", outcomes.label(outcomes.HORIZON).alias("outcome")).agg(F.count("*").alias("events"))
 

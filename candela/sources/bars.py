@@ -38,14 +38,44 @@ def from_trades(lines: DataFrame, seconds: int) -> DataFrame:
     ).select(F.lit("UNIT").alias("instrument"), F.col("w.start").alias("ts"), *VALUES)
 
 
-def read_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Rows of one or more CSV files with headers, as text; columns are matched by name."""
+def in_file_order(parts: Sequence[DataFrame], name: str) -> DataFrame:
+    """Rows of scans of files, numbered from 1 in the order of the scans, their files by name, and lines. Numbers are
+    counted inside the blocks of files that Spark reads and carried across them, so no task holds all rows."""
+    from ..operators.chunks import running
+
+    marked = []
+    for k, part in enumerate(parts):
+        place = F.struct(F.lit(k).alias("scan"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+        marked.append(part.select("*", place.alias("_place"), F.monotonically_increasing_id().alias("_line"), F.lit(0).alias("_all")))
+    out = marked[0]
+    for m in marked[1:]:
+        out = out.unionByName(m, allowMissingColumns=True)
+    return running(out, ["_all"], "_line", F.col("_place"), sums={name: F.lit(1).cast("bigint")}).drop("_place", "_line", "_all")
+
+
+def check_header(spark: SparkSession, file: str) -> None:
+    """Refuse a CSV file whose header names a column twice (Spark would rename both)."""
+    first = spark.read.option("header", False).csv(file).first()
+    names = [c for c in first or () if c is not None]
+    if len(set(names)) < len(names):
+        raise ValueError(f"{file}: column names must be unique")
+
+
+def read_csv(spark: SparkSession, paths: str | Sequence[str], ordinal: bool = False) -> DataFrame:
+    """Rows of one or more CSV files with headers, as text; columns are matched by name, and none may stand twice in a
+    header. ``ordinal`` adds source_row: the row's number from 1 over all files in the order given, headers not counted."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         raise ValueError("no files were given")
-    out = spark.read.option("header", True).csv(paths[0])
-    for p in paths[1:]:
-        out = out.unionByName(spark.read.option("header", True).csv(p), allowMissingColumns=True)
+    parts = [spark.read.option("header", True).csv(p) for p in paths]
+    for part in parts:
+        for file in part.inputFiles():
+            check_header(spark, file)
+    if ordinal:
+        return in_file_order(parts, "source_row")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
     return out
 
 
@@ -59,10 +89,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_jsonl_bars(spark: SparkSession, path: str) -> DataFrame:
-    """Bars, one JSON object a line; lines that aren't one are kept in ``_corrupt_record``."""
+    """Bars, one JSON object a line, with the number of the line (from 1, blank lines counted); lines that aren't one
+    are kept in ``_corrupt_record``."""
     schema = "timestamp string, open double, high double, low double, close double, volume double, completed boolean, contract string, instrument string, _corrupt_record string"
     own = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    return spark.read.text(path).where("trim(value) <> ''").select(own.alias("bar")).select("bar.*")
+    return in_file_order([spark.read.text(path)], "line").where("trim(value) <> ''").select(own.alias("bar"), "line").select("bar.*", "line")
+
+
+def refused_lines(bars: DataFrame) -> DataFrame:
+    """(line, reason) of the lines of ``read_jsonl_bars`` that no matcher takes: no JSON object, or a value missing."""
+    gone = F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in ("timestamp", *VALUES))))
+    reason = F.when(F.col("_corrupt_record").isNotNull(), "not a JSON object").when(F.size(gone) > 0, F.concat(F.lit("missing "), F.array_join(gone, ", ")))
+    return bars.select("line", reason.alias("reason")).where("reason is not null")
 
 
 def read_vendor_csv(spark: SparkSession, path: str, zone: str = T.EASTERN, seconds: int = 60) -> tuple[DataFrame, DataFrame]:

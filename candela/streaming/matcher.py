@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import times as T
 from ..operators import features, outcomes, segments, signatures
 from ..sources.bars import canonical_json
+from ..sources.store import stored
 
 # fixed values: what a library must say of its bars
 STATUSES = ("confirmed", "provisional")
@@ -208,7 +209,7 @@ def match_batch(bars: DataFrame, library: dict | str | Path, diagnostic: bool =
         return empty
     breaks = ("contract",) if "contract" in bars.columns else ()
     known = features.core(segments.segmented(bars, seconds, breaks))
-    found = signatures.matched(known, [{"id": k, "signature": v[0]["signature"]} for k, v in own.items()]).select("instrument", "signature_id", "ts")
+    found = stored(signatures.matched(known, [{"id": k, "signature": v[0]["signature"]} for k, v in own.items()]).select("instrument", "signature_id", "ts"))
     cooldown = 45 * seconds
     kept = outcomes.thinned(found, ["instrument", "signature_id"], cooldown).withColumn("_kept", F.lit(True))
     if diagnostic:
@@ -246,8 +247,9 @@ def match_stream(bars: DataFrame, library: dict | str | Path, diagnostic: bool =
         out = []
         rows = pd.concat(list(frames), ignore_index=True)
         order = pd.to_datetime(rows["timestamp"], utc=True, errors="coerce", format="ISO8601")
-        for _, row in rows.assign(_o=order).sort_values("_o", kind="stable", na_position="last").iterrows():
-            bar = {k: (None if v is None or v != v else v) for k, v in row.items() if k not in ("_o", "instrument")}
+        sent = rows.drop(columns="instrument").loc[order.sort_values(kind="stable", na_position="last").index]
+        for values in zip(*(sent[c].tolist() for c in sent.columns)):
+            bar = {k: (None if v is None or v != v else v) for k, v in zip(sent.columns, values)}
             if bar.get("completed", True) is None:
                 bar.pop("completed")
             try:

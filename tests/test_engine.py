@@ -26,8 +26,7 @@ def rows(df, *order):
 def test_parsing_refuses_what_is_ambiguous_or_missing(spark):
     texts = ["2023-03-12 02:30:00", "2023-11-05 01:30:00", "2023-07-01 09:30", "2023-07-01T09:30:00Z", "2023-07-01T09:30:00+0530", "never", None]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
-    p = T.parsed(F.col("t"), "America/New_York")
-    got = {r[0]: (r[1], r[2]) for r in df.select("k", p["ts"], p["reason"]).collect()}
+    got = {r["k"]: (r["ts"], r["reason"]) for r in T.with_parsed(df, "t", "America/New_York").collect()}
     assert got[0] == (None, "nonexistent_local_time") and got[1] == (None, "ambiguous_local_time")
     assert got[2] == (datetime(2023, 7, 1, 13, 30), None) and got[3] == (datetime(2023, 7, 1, 9, 30), None)
     assert got[4] == (datetime(2023, 7, 1, 4, 0), None)
@@ -90,6 +89,33 @@ def test_summary_counts(spark):
     assert doc["input_rows"] == 2 and doc["output_rows"] == 1 and doc["reason_counts"] == {"invalid_timestamp": 1} and doc["imputed_rows"] == 0
 
 
+def test_the_whole_audit_as_document_and_tables(spark):
+    items = [("2024-01-02 14:30", {}), ("2024-01-02 14:32", {}), ("never", {}), ("2024-01-02 14:31", {}), ("2024-01-02 14:33", {"high": 1.0}), ("2024-01-02 14:36", {"close": 100.1})]
+    own = raw(spark, items)
+    audit = quality.audited(own)
+    out, tables = quality.document(own, audit, convention="start", verified=(True, False))
+    json.dumps(out, allow_nan=False)
+    assert (out["input_rows"], out["output_rows"], out["excluded_rows"], out["moved_rows"], out["segment_count"], out["boundary_count"], out["outlier_rows"]) == (6, 4, 2, 2, 4, 3, 0)
+    assert out["sort"] == {"reordered": True, "moved_rows": 2} and out["ignored_source_columns"] == ["extra"] and out["tick_grid_rows"] == out["tick_grid_violations"] == 1
+    zone = out["timestamp_normalization"]
+    assert zone["source_timezone_verified"] is True and zone["source_convention_verified"] is False and zone["end_to_start_rows"] == 0 and out["confirmatory_metadata_ready"] is False
+    assert dict(rows(tables["exclusions"], "source_row")) == {3: ["invalid_timestamp"], 5: ["high_below_ohlc", "low_above_ohlc"]}
+    assert [r["source_row"] for r in tables["moved"].orderBy("source_row").collect()] == [2, 4] and rows(tables["off_tick"], "source_row") == [(6, ["close"])]
+    edges = tables["boundaries"].orderBy("ts").collect()
+    assert [(r["previous_source_row"], r["source_row"], r["missing_bars"], r["unresolved_rows"]) for r in edges] == [(1, 4, 0, 1), (4, 2, 0, 1), (2, 6, 3, 1)]
+    assert [r["source_row"] for r in tables["unresolved_between"].collect()] == [3, 3, 3]
+
+
+def test_an_empty_audit_has_typed_columns(spark):
+    own = raw(spark, [("2024-01-02 14:30", {})]).limit(0)
+    out, tables = quality.document(own, quality.audited(own), convention="end")
+    json.dumps(out, allow_nan=False)
+    assert out["input_rows"] == out["output_rows"] == out["segment_count"] == out["boundary_count"] == 0 and out["reason_counts"] == {}
+    kinds = dict(tables["bars"].dtypes)
+    assert kinds["ts"] == "timestamp_ntz" and kinds["close"] == "double" and kinds["segment_id"] == "bigint" and kinds["extreme_jump"] == "boolean"
+    assert all(t.count() == 0 for t in tables.values())
+
+
 def test_segments_follow_gaps_contracts_and_chunks(spark, monkeypatch):
     monkeypatch.setattr(segments, "CHUNK_BARS", 7)
     data = [r + ("C" if k < 12 else "D",) for k, r in enumerate(wave(30))]
@@ -374,13 +400,11 @@ def test_whole_tables_are_registered(spark):
     for k, (chance, i) in enumerate(p):
         worst = max(worst, chance * (len(p) - k))
         want[i] = round(min(1.0, worst), 9)
-    assert {r["id"]: r["adjusted"] for r in run("a14_holm_whole")} == pytest.approx(want)
-    assert len(run("k09_confirmation_whole")) == spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert {r["id"]: r["adjusted"] for r in run("a14_holm")} == pytest.approx(want)
+    assert len(run("k09_confirmation")) == spark.read.parquet(f"{sf}/orders.parquet").count()
     kinds = {r[0] for r in Q.events(spark, sf).select("event_type").distinct().collect()}
-    gaps = run("c04_missing_intervals_whole")
-    assert len(kinds) == 5 and {r["instrument"] for r in gaps} <= kinds
-    assert [tuple(r)[1:] for r in sorted(gaps) if r["instrument"] == "purchase"] == sorted(map(tuple, run("c04_missing_intervals")))
-    assert all(r["trade_number"] is not None for r in run("o11_teacher_join_whole"))
+    assert len(kinds) == 5 and {r["instrument"] for r in run("c04_missing_intervals")} <= kinds
+    assert all(r["trade_number"] is not None for r in run("o11_teacher_join"))
 
 
 def test_the_registered_bootstrap_runs_all_replicates(spark, monkeypatch):
@@ -464,6 +488,33 @@ def test_a_round_runs_end_to_end(spark, tmp_path):
     assert out["report"]["status"] == "not_run_no_survivors" and out["library"]["patterns"] == []
 
 
+def test_a_signature_that_fails_costs_the_others_nothing(spark, tmp_path, monkeypatch):
+    from candela.plans import research
+
+    cut = segments.segmented(frame(spark, wave(700, datetime(2023, 1, 2, 14, 30), price=100.0))).withColumn("trading_date", F.to_date("ts"))
+    folds = splits.folds(spark, [f"2023-01-02 {h}:00:00" for h in (17, 19, 21, 23)] + ["2023-01-03 01:00:00"], 45, eastern=False)
+    study = research.Study(cut, folds, magnitudes=(1,))
+    candidates = [signatures.rules("price_state", ("price_z20", "ge", -float(k))) for k in (9, 10, 11)]
+    own, tried = research.Study.scores, []
+
+    def scores(self, wanted, *rest):
+        tried.append([c["id"] for c in wanted])
+        if candidates[1] in wanted:
+            raise RuntimeError("can't be scored")
+        return own(self, wanted, *rest)
+
+    monkeypatch.setattr(research.Study, "scores", scores)
+    got, failures = research.scored(tmp_path, study, candidates)
+    assert [f["signature_id"] for f in failures] == [candidates[1]["id"]] and "can't be scored" in failures[0]["reason"]
+    assert {r[0] for r in got.select("signature_id").distinct().collect()} == {candidates[0]["id"], candidates[2]["id"]}
+    monkeypatch.setattr(research.Study, "scores", own)
+    tried.clear()
+    again, failures = research.scored(tmp_path, study, candidates)
+    assert not failures and again.select("signature_id").distinct().count() == 3 and 2 * again.count() == 3 * got.count() > 0
+    parts = json.loads((tmp_path / "scores.json").read_text())["parts"]
+    assert [len(p["signatures"]) for p in parts] == [1, 1, 1]
+
+
 def test_the_holdout_opens_once(spark, tmp_path):
     from candela.plans import research
 
@@ -594,12 +645,11 @@ def test_costs_of_a_round_trip(spark):
     assert synthetic.trades(df).first()["profit"] == -14.5
 
 
-def test_rate_clock_carries_and_forgets():
-    c = synthetic.RateClock()
-    assert [c.due(0, 10, True), c.due(50, 10, True), c.due(100, 10, True), c.due(1000, 10, True)] == [0, 0, 1, 1]
-    assert c.due(1050, 10, False) == 0 and c.due(2000, 10, True) == 0
+def test_playback_carries_and_forgets():
+    assert list(synthetic.playback((t, 10, True) for t in (0, 50, 100, 1000))) == [0, 0, 1, 1]
+    assert list(synthetic.playback([(0, 10, True), (90, 10, True), (100, 10, False), (2000, 10, True), (2100, 10, True)])) == [0, 0, 0, 0, 1]
     with pytest.raises(ValueError):
-        c.due(0, 501, True)
+        list(synthetic.playback([(0, 501, True)]))
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -622,6 +672,47 @@ def test_sources_and_sinks(spark, tmp_path):
         io.write(frame(spark, flat(2)), str(tmp_path / "p"))
 
 
+def test_rows_of_files_keep_their_order(spark, tmp_path):
+    a, b = tmp_path / "b.csv", tmp_path / "a.csv"  # the order given counts, not the names
+    a.write_text("timestamp,open\n" + "".join(f"t{k},{k}\n" for k in range(1, 40)))
+    b.write_text("open,timestamp,more\n" + "".join(f"{k},t{k},x\n" for k in range(40, 60)))
+    got = io.read_csv(spark, [str(a), str(b)], ordinal=True)
+    assert sorted((r["source_row"], r["timestamp"], r["open"]) for r in got.collect()) == [(k, f"t{k}", str(k)) for k in range(1, 60)]
+    folder = tmp_path / "folder"
+    spark.range(0, 5000, 1, 7).select(F.col("id").alias("n")).write.option("header", True).csv(str(folder))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = io.read_csv(spark, str(folder), ordinal=True)
+        assert got.where("source_row <> n + 1").count() == 0 and got.count() == 5000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "twice.csv").write_text("open,volume,open\n1,2,3\n")
+    with pytest.raises(ValueError, match="unique"):
+        io.read_csv(spark, str(tmp_path / "twice.csv"))
+
+
+def test_refused_json_lines_are_numbered(spark, tmp_path):
+    good = '{"timestamp":"2023-01-03T14:30:00Z","open":1,"high":1,"low":1,"close":1,"volume":1}'
+    (tmp_path / "b.jsonl").write_text("\n".join([good, "", "not json", good, good.replace('"low":1,', ""), ""]))
+    bars = io.read_jsonl_bars(spark, str(tmp_path / "b.jsonl"))
+    assert [r["line"] for r in bars.orderBy("line").collect()] == [1, 3, 4, 5]
+    assert rows(io.refused_lines(bars), "line") == [(3, "not a JSON object"), (5, "missing low")]
+
+
+def test_a_cluster_has_to_name_the_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from candela.sources import store
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(master="spark://x:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        store.shared_folder(session)
+    path = store.shared_folder(spark)
+    assert not store.exists(spark, path)
+    spark.range(1).write.parquet(path)
+    assert store.exists(spark, path)
+
+
 def test_commands(spark, tmp_path, capsys):
     from candela import cli
 
