@@ -3,7 +3,8 @@
 Every page is parsed once. Elements that are furniture by their tag, role or class go, and if the page marks
 its article, all outside it. On every page each element's subtree is hashed (tag, class, text and
 children), Spark counts for each host on how many different pages a subtree stands, and those on
-MIN_PAGES or more, the site's template, are deleted, inside a marked article too. Pages are different by the
+MIN_PAGES or more, the site's template, are deleted. Inside a marked article only boxes count and elements that carry a
+class, id or role: its bare paragraphs, headings and list items are its text, however often a site repeats them. Pages are different by the
 largest block outside the subtree, so a long notice counts on every page while what only copies of a page
 share counts once, and copies keep their text. Where all would go, the largest block stays.
 """
@@ -40,6 +41,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe svg math select object video audio canvas".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 FURNITURE = frozenset("head nav footer aside form button menu dialog header".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre blockquote figcaption address".split())
 CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 BARRIER = frozenset("ul ol dl table article section main div body html nav aside footer header form blockquote td".split())
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -95,7 +97,7 @@ class Page:
                     self._stack[-1][5].append(text.encode("utf-8", "surrogatepass"))
 
     def _close(self) -> None:
-        tag, dropped, _, first, attributes, parts = self._stack[-1]
+        tag, dropped, inside, first, attributes, parts = self._stack[-1]
         if tag not in INLINE:
             self._flush()
         self._stack.pop()
@@ -105,7 +107,8 @@ class Page:
                 if self._stack:
                     self._stack[-1][5].extend(parts)
                 return
-            self.marks.append((int.from_bytes(digest, "little", signed=True), first, len(self.blocks)))
+            if not (inside and tag in PROSE and not attributes):
+                self.marks.append((int.from_bytes(digest, "little", signed=True), first, len(self.blocks)))
             if self._stack:
                 self._stack[-1][5].append(digest)
 
@@ -174,7 +177,7 @@ def article(html: str | None) -> tuple[str | None, list[str], list[tuple[int, in
     if page.article:
         blocks = [b for b, own in zip(page.blocks, page.own) if own]
         place = [*accumulate(map(int, page.own), initial=0)]
-        marks = [(h, place[a], place[z]) for h, a, z in marks]
+        marks = [(h, place[a], place[z]) for h, a, z in marks if place[a] < place[z]]
     if not blocks:
         return "", [], []
     return " ".join(blocks) if page.article else None, blocks, marks
