@@ -124,11 +124,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 ``data``, A-Z in lower case, in order."""
-    raw = np.frombuffer(data, np.uint8)
+def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 ``data``, A-Z in lower case, in order, and the places
+    where they begin and end."""
+    raw, none = np.frombuffer(data, np.uint8), np.empty(0, np.int64)
     if not len(raw):
-        return np.empty(0, np.uint64)
+        return none.astype(np.uint64), none, none
     blank = SPACE[raw]
     edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     starts = edge[~blank[edge]]
@@ -138,12 +139,16 @@ def word_hashes(data: bytes) -> np.ndarray:
     if not blank[-1]:
         ends = np.concatenate((ends, [len(raw)]))
     if not len(starts):
-        return np.empty(0, np.uint64)
+        return none.astype(np.uint64), none, none
     up, down = _grown(len(raw))
     total = np.empty(len(raw) + 1, np.uint64)
     total[0] = 0
     np.cumsum(BYTE_VALUE[raw] * up[: len(raw)], out=total[1:])
-    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts, ends
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    return words(data)[0]
 
 
 _Q = [np.uint64(pow(0x2545F4914F6CDD1D, k, 2**64)) for k in range(16)]
