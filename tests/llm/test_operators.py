@@ -4,6 +4,7 @@ texts, ties and repeated rows, no rows, and columns whose names clash."""
 import gzip
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -134,7 +135,8 @@ def variants(rng, base, n, most):
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(neardup, "SMALL_BUCKET", small)
     monkeypatch.setattr(neardup, "BLOCK", 16)
-    monkeypatch.setattr(neardup, "HOT_CLASS", 2 if small == 2 else 1_000)
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 3 if small == 2 else 200_000)
+    monkeypatch.setattr(neardup, "SHARE", 4 if small == 2 else 500)
     rng = random.Random(5)
     many = variants(rng, text(rng, 150), 60, 8)
     rows = [*ODD, *LONG, *((100 + k, t) for k, t in enumerate(many)), *((300 + k, text(rng, 80)) for k in range(20)), (400, many[0].upper()), (401, text(rng, 3)), (402, "one")]
@@ -161,7 +163,19 @@ def test_one_of_a_group_stays(spark):
     assert left.columns == docs(spark, ODD).columns
 
 
-def test_components_of_chains_and_stars(spark):
+def test_different_texts_of_an_id_stay(spark):
+    rng = random.Random(21)
+    a, b, c = (text(rng, 40) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " end"), (2, c), (3, b), (4, None), (4, None), (4, " "), (5, ""), (None, a), (6, a), (6, a)]
+    left = [(r["doc_id"], r["text"]) for r in neardup.keep_one(docs(spark, rows)).collect()]
+    assert sorted(t for i, t in left if i in (1, 2, 3, 6)) == sorted([a, b, c]) and {i for i, t in left if t in (a, b)} == {1, None}
+    assert sorted(i for i, t in left if i in (4, 5)) == [4, 5] and (None, a) in left
+    assert neardup.keep_one(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("rows", [200_000, 3])
+def test_components_of_chains_and_stars(spark, monkeypatch, rows):
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", rows)
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 140)] + [(200, 201)]
     got = dict(tuple(r) for r in neardup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
     assert got == {**{k: 1 for k in range(1, 41)}, **{k: 100 for k in range(100, 140)}, 200: 200, 201: 200}
@@ -219,7 +233,6 @@ def test_languages_are_told_apart(spark):
 
 
 def test_cosines_equal_bundled_vectors():
-    letters = langid._letter_vectors()
     rng = np.random.default_rng(0)
     prototypes = rng.normal(size=(2, langid.DIMENSIONS))
     prototypes /= np.linalg.norm(prototypes, axis=1, keepdims=True)
@@ -228,7 +241,7 @@ def test_cosines_equal_bundled_vectors():
     cos, lettered = own.cosines(texts)
     for t, row in zip(texts, cos):
         codes, _, _ = langid.trigram_codes([t])
-        bundle = langid.trigram_vectors(codes, letters).astype(float).sum(axis=0)
+        bundle = langid.trigram_vectors(codes).astype(float).sum(axis=0)
         exact = bundle @ prototypes.T / np.linalg.norm(bundle)
         assert np.allclose(row, exact, atol=0.02)
     assert lettered.all()
@@ -281,6 +294,13 @@ def test_templates_recur_inside_marked_articles(spark):
     assert got == {k: f"{f'words of page {k} ' * 8}Same for {k % 4}" for k in range(12)} | {50: f"Read our offers of the week {'words of page 50 ' * 8}Same for 2"}
 
 
+def test_prose_of_marked_articles_stays(spark):
+    """Paragraphs and headings that a site's articles repeat are their text; a box that recurs among them isn't."""
+    rows = [(k, "http://a.example/x", f"<body><article><h1>Same title</h1><p><b>Of.</b><br><p>The same line again.</p><p>{f'words of page {k} ' * 5}</p><ul><li>Also.</ul><div><p>Read on</p></div><p class=hint>Hint</p></article></body>") for k in range(9)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {k: f"Same title Of. The same line again. {f'words of page {k} ' * 5}".strip() for k in range(9)}
+
+
 @pytest.mark.parametrize("broadcast", [200_000, -1])
 def test_templates_of_large_hosts_and_long_notices(spark, monkeypatch, broadcast):
     """Neither the size of a host nor the length of a notice saves a template; copies keep their text."""
@@ -301,6 +321,35 @@ def test_templates_of_large_hosts_and_long_notices(spark, monkeypatch, broadcast
     assert got[300] == "Our offer 1" and got[301] == ""
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 4, 0])
+def test_template_counts_equal_brute_force(spark, monkeypatch, broadcast):
+    """Counts by host, and what they delete, against loops over pages, subtrees and blocks."""
+    monkeypatch.setattr(html, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(31)
+    pool = [f"<div class=x{k}><p>{text(rng, 4)}</p>{'<p>more</p>' if k % 2 else ''}</div>" for k in range(8)]
+    bodies = [text(rng, rng.randint(3, 30)) for _ in range(12)]
+    rows = []
+    for k in range(90):
+        parts = [rng.choice(pool) for _ in range(rng.randint(0, 3))] + [f"<p>{rng.choice(bodies)}</p>"] * rng.randint(0, 2) + ["<section>" + rng.choice(pool) + "</section>"]
+        rng.shuffle(parts)
+        whole = "".join(parts)
+        rows.append((k, f"http://h{k % 3 if k % 2 else 0}.example/{k}", f"<main>{whole}</main>" if k % 4 == 0 else f"<body>{whole}</body>"))
+    parsed = [(i, u.split("/")[2], *html.article(h)[1:]) for i, u, h in rows]
+    pages = {}
+    for _, host, blocks, marks in parsed:
+        for h, a, z in marks:
+            outside = [b for k, b in enumerate(blocks) if not a <= k < z]
+            if outside:
+                pages.setdefault((host, h), set()).add(max(outside, key=len))
+    want = {}
+    for i, host, blocks, marks in parsed:
+        gone = {k for h, a, z in marks if len(pages.get((host, h), ())) >= html.MIN_PAGES for k in range(a, z)}
+        left = [b for k, b in enumerate(blocks) if k not in gone]
+        want[i] = " ".join(left) if left or not blocks else max(blocks, key=len)
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == want and sum(len(p) >= html.MIN_PAGES for p in pages.values()) > 5
+
+
 def test_only_real_attributes_drop_text():
     kept = """<article style="overflow:hidden" data-role=banner data-id='nav'><p title="The hidden cost">One <a href="/hidden-valley">two</a> <a href=/x/hidden title=it's>three</a></p><p data-hidden title="no end hidden>four</p></article>"""
     assert html.article(kept)[0] == "One two three four"
@@ -331,6 +380,34 @@ def test_archives_round_trip(spark):
     assert warc.archived(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 1, 2])
+def test_common_payloads_are_revisits(spark, monkeypatch, broadcast):
+    """Whatever share of the recurring payloads is broadcast, and over several files."""
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(warc, "RUN_BYTES", 300)
+    rows = [(k, f"http://h/{k}", f"{k % 7}" * 150 if k % 3 else "often " * 40) for k in range(60)] + [(100, None, None), (101, "x", "short"), (102, "x", "short"), (None, "x", "often " * 40)]
+    got = {r["page_id"]: r for r in warc.archived(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert len(got) == len(rows) and sorted(r["position"] for r in got.values()) == sorted({r["position"] for r in got.values()})
+    first = {}
+    for k, _, h in rows[:60]:
+        first.setdefault(h, k)
+    for k, _, h in rows:
+        data = (h or "").encode()
+        assert got[k]["payload_bytes"] == len(data) and got[k]["payload_digest"] == hashlib.sha256(data).hexdigest()
+        want = first[h] if len(data) >= 100 and first[h] != k else None
+        assert got[k]["refers_to"] == want and got[k]["record_type"] == ("response" if want is None else "revisit")
+
+
+@pytest.mark.parametrize("rows", [100, 2, 1, 0])
+def test_joins_with_hot_keys(spark, rows):
+    left = [(k % 5 if k % 2 else 9, k) for k in range(40)] + [(None, 99)]
+    counts = Counter(k for k, _ in left if k is not None and k != 3)
+    right = spark.createDataFrame([(k, n, f"v{k}") for k, n in counts.items()], "k bigint, n bigint, v string")
+    got = C.left_join_with_hot(spark.createDataFrame(left, "k bigint, x bigint"), right, ["k"], "n", rows or 1)
+    assert got.columns == ["k", "x", "v"]
+    assert Counter(map(tuple, got.collect())) == Counter((k, x, f"v{k}" if k in counts else None) for k, x in left)
+
+
 def test_loser_tree_merges_in_order():
     rng = random.Random(0)
     for k in (0, 1, 2, 3, 7, 16):
@@ -373,6 +450,43 @@ def labelled(spark, rng, n, good, bad):
     return df.where("doc_id is null or doc_id > 8 or doc_id < 100"), labels, {i: y for i, _, y in rows if i > 8}
 
 
+def test_statistics_and_grammar_of_very_long_texts(spark):
+    """Scored whole: what stands at the end of a long text counts, and names that clash do no harm."""
+    df = spark.createDataFrame([(1, "word " * 400_000 + "!!! $$$ 777", "x", "y"), (2, "word " * 400_000, "x", "y"), (3, None, "x", "y")], "doc_id bigint, text string, body string, __text string")
+    x = quality.statistics(df.first()["text"])
+    assert x[0] == np.log1p(5 * 400_000 + 11) and (x != quality.statistics("word " * 400_000)).any()
+    got = quality.score(df, quality.fit_trees(np.zeros((0, quality.FEATURES)), np.zeros(0)))
+    assert {r["score"] for r in got.collect()} == {0.5} and got.columns == ["doc_id", "text", "body", "__text", "score", "predicted"]
+    grammar = toxicity.Grammar({}, {"fool": 5.0}, toxicity.prior_weights())
+    long = df.select("doc_id", "body", "__text", F.when(F.col("doc_id") == 1, F.concat("text", F.lit(". you fool"))).otherwise(F.col("text")).alias("text"))
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(long, grammar).collect()}
+    assert scores[1] > scores[2] == scores[3]
+
+
+def test_clauses_equal_brute_force():
+    """The composed machine against loops over the tokens of a clause."""
+    g = toxicity.Grammar({"grump": 5.0}, {"fool": 4.0}, toxicity.prior_weights())
+    m, rng = toxicity.Machine(g), random.Random(33)
+    vocabulary = ["you", "not", "said", "fool", "grumpy", "kill", "the", "sky", "is"]
+    for _ in range(400):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(1, 12))]
+        want = []
+        for k, w in enumerate(words):
+            if w in ("fool", "grumpy", "kill"):
+                kind = toxicity.THREATEN if w == "kill" else toxicity.INSULT
+                negated = "not" in words[max(0, k - toxicity.SCOPE - 1) : k]
+                want.append((toxicity.PATTERNS[kind, "you" in words, negated, "said" in words[:k]], {"fool": 4.0, "grumpy": 5.0, "kill": 3.0}[w]))
+        assert m.clause(" ".join(words)) == want
+
+
+def test_one_text_of_a_labelled_id(spark):
+    df = spark.createDataFrame([(k % 6 + 1, f"text {k}") for k in range(60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 7)], "doc_id bigint, quality int")
+    got = quality.labelled_sample(df, labels, "quality", 100).collect()
+    assert sorted(r["doc_id"] for r in got) == [k for k in range(1, 7) if zlib.crc32(str(k).encode()) % 5]
+    assert quality.labelled_sample(df, labels, "quality", 2).count() == 2
+
+
 def test_quality_on_held_out_documents(spark):
     df, labels, truth = labelled(spark, random.Random(4), 300, lambda r: text(r, 60), lambda r: " ".join([r.choice(WORDS)] * 50))
     model = quality.fit(df, labels)
@@ -404,7 +518,7 @@ def test_toxicity_on_held_out_documents(spark):
 
 
 def test_the_grammar_reads_clauses():
-    g = toxicity.Grammar({"grump": 5.0}, {"fool": 5.0}, toxicity.prior_weights(), 0.0)
+    g = toxicity.Grammar({"grump": 5.0}, {"fool": 5.0}, toxicity.prior_weights())
     m = toxicity.Machine(g)
     name = {v: k for k, v in toxicity.PATTERNS.items()}
 
@@ -434,7 +548,7 @@ def scored_rows(spark, rows):
 
 def test_base_scores_equal_brute_force(spark, monkeypatch):
     rng = random.Random(8)
-    rows = [*ODD, *LONG, *((100 + k, text(rng, rng.randint(0, 120)) + " " + str(rng.random())) for k in range(80))]
+    rows = [*ODD, *LONG, *((100 + k, text(rng, rng.randint(0, 120)) + " " + str(rng.random())) for k in range(80)), (300, "a \0 b \0\0 \0"), (302, "\0")]
     for head in (250_000, 10):
         monkeypatch.setattr(lmscore, "HEAD", head)
         got = scored_rows(spark, rows)
@@ -469,37 +583,190 @@ def test_every_word_of_training_has_its_share(spark, monkeypatch):
     for head in (250_000, 10, 0):
         monkeypatch.setattr(lmscore, "HEAD", head)
         got.append({r["doc_id"]: r["score"] for r in scored_rows(spark, rows)})
-    assert all(math.isclose(got[0][k], g[k], rel_tol=1e-3) for g in got[1:] for k in got[0])
-
-
-def test_texts_of_the_mixer_count_too(spark, monkeypatch):
-    """The mixer learns from all words set apart, and the tables then hold these as well."""
-    rng, seen = random.Random(13), []
-    df = docs(spark, [(k, text(rng, 50) + f" own{k}") for k in range(60)])
-    own = lmscore._learned
-    monkeypatch.setattr(lmscore, "_learned", lambda rows, *rest: (seen.append(rows), own(rows, *rest)))
-    monkeypatch.setattr(lmscore, "TUNE_ROWS", 50)
-    made = {}
-    for texts in (1, 10**9):
-        monkeypatch.setattr(lmscore, "TUNE_TEXTS", texts)
-        counts = lmscore.count(df, F.lit(True))
-        seen.clear()
-        made[texts] = lmscore.fit(counts).tables
-        rows = [r for part in seen for r in part]
-        assert len(rows) == len(set(rows)) == counts.table.where("kind < 2 and tune > 0").count()
-        assert texts > 1 or len(rows) > 150 and max(map(len, seen)) <= 50
-    assert made[1].tables.any() and (made[1].tables == made[10**9].tables).all() and (made[1].levels == made[10**9].levels).all()
-
-
-def test_gate_is_a_mixture():
-    whole, spelt = np.array([-1.0, np.nan, -2.0, -1.0]), np.array([-3.0, -2.0, -2.0, -9.0])
-    got = lmscore.gated(whole, spelt, np.array([3, 1]), 0.0)
-    g, want = 0.0, 0.0
-    for a, b in zip((-1.0, -1e4, -2.0), (-3.0, -2.0, -2.0)):
-        s = 1 / (1 + math.exp(-g))
-        m = math.log(s * math.exp(a) + (1 - s) * math.exp(b))
-        want, g = want + m, g + lmscore.GATE_RATE * (s * math.exp(a - m) - s)
-    assert math.isclose(got[0], want) and math.isclose(got[1], math.log(0.5 * math.exp(-1) + 0.5 * math.exp(-9)))
+    assert all(math.isclose(got[0][k], g[k], rel_tol=1e-4) for g in got[1:] for k in got[0])
+
+
+def slow_contexts(word, ahead, cluster):
+    """The contexts of a word's bytes and its blank, named in plain words."""
+    spelling, out = [*word, 32], []
+    for k in range(len(spelling)):
+        back = [spelling[k - j] if k >= j else 32 for j in range(1, 6)]
+        cross = (ahead,) if k == 0 else (ahead, spelling[0]) if k == 1 else (spelling[0], spelling[1], back[0])
+        out.append([(cluster, *back[:2]), (cluster, *back[:3]), (cluster, *back), (cluster, bytes(spelling[:k])), (cluster, min(k, 2), cross)])
+    return spelling, out
+
+
+def test_predictions_and_mixing_equal_brute_force():
+    rng = random.Random(17)
+    words = sorted({rng.choice(WORDS).encode() + (rng.choice(WORDS).encode() if rng.random() < 0.5 else b"") for _ in range(40)} | {"ñü".encode(), b"a", lmscore.END})
+    cluster, n = np.array([k % 3 for k in range(len(words))]), np.array([1.0 + k * k % 150 for k in range(len(words))])
+    data, early, whose = lmscore._spelled(words)
+    letters = np.bincount(data, n[whose], 256)
+    code = lmscore.huffman(letters)
+    lengths = np.array([code.length[b] for b in range(256)])
+    assert math.isclose(sum(2.0 ** -lengths), 1) and lengths[ord("a")] <= lengths[ord("Q")]
+    counts = np.zeros((lmscore._OFFSETS[-1], 2), np.float32)
+    lmscore._counted(counts, data, cluster[whose], n[whose], np.where(early, 0, n[whose]), code, range(lmscore.INPUTS))
+    ones, zeros = (lmscore.packed(counts[:, k]).astype(np.uint16) for k in (1, 0))
+    tables = lmscore.Tables(code, zeros | ones << np.uint16(8))
+    seen, met = Counter(), Counter()
+    for word, c, amount in zip(words, cluster, n):
+        spelling, contexts = slow_contexts(word, None, c)
+        for k, (byte, own) in enumerate(zip(spelling, contexts)):
+            for node, bit in zip(code.node[byte][: code.length[byte]], code.bit[byte]):
+                for p, context in enumerate(own):
+                    if p != lmscore.ACROSS or k >= 2:
+                        seen[p, context, int(node), int(bit)] += amount
+    clipped = lambda x: lmscore.UNPACKED[int(lmscore.packed(np.array([float(x)]))[0])]
+    weights, refine = np.random.default_rng(3).normal(size=(lmscore.GATES, lmscore.INPUTS)).astype(np.float32), np.random.default_rng(4).normal(size=(lmscore.GATES, lmscore.BUCKETS)).astype(np.float32)
+    for left_out in (False, True):
+        owner, sign, x, gate = lmscore.predictions(data, early, cluster[whose], tables, only=~early, left_out=left_out)
+        logit, _ = lmscore.mixed_logits(x, gate, weights, refine)
+        at, same = 0, 0
+        for word, c in zip(words, cluster):
+            spelling, contexts = slow_contexts(word, None, c)
+            for k, (byte, own) in enumerate(zip(spelling, contexts)):
+                if k < 2:
+                    continue
+                for node, bit in zip(code.node[byte][: code.length[byte]], code.bit[byte]):
+                    sides = [[max(0.0, clipped(seen[p, context, int(node), side]) - (left_out and side == bit)) for side in (0, 1)] for p, context in enumerate(own)]
+                    want = [math.log((o + 0.05) / (z + 0.05)) if z + o else 0.0 for z, o in sides]
+                    level = sum(sum(sides[lmscore.SO_FAR]) >= limit for limit in lmscore.LEVELS)
+                    dot = sum(weights[level, p] * want[p] for p in range(lmscore.INPUTS))
+                    bucket = int(min(lmscore.BUCKETS - 1, max(0, dot * 1.5 + lmscore.BUCKETS // 2)))
+                    same += np.allclose(x[:, at], want, atol=1e-4) and gate[at] == level and sign[at] == 2 * bit - 1 and abs(logit[at] - dot - refine[level, bucket]) < 1e-3
+                    met[left_out] += 1
+                    at += 1
+        assert at == len(sign) and same >= 0.99 * at  # but for slots that two contexts share
+
+
+def test_mixer_learns_and_does_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(19)
+    words = sorted({"".join(rng.choice(SYLLABLES["aa"]) for _ in range(rng.randint(1, 4))).encode() for _ in range(400)})
+    rows = [(0, w, 0, rng.randint(1, 30)) for w in words]
+    data, _, whose = lmscore._spelled(words)
+    n = np.array([r[3] for r in rows], float)
+    code = lmscore.huffman(np.bincount(data, n[whose], 256))
+    counts = np.zeros((lmscore._OFFSETS[-1], 2), np.float32)
+    lmscore._counted(counts, data, np.zeros(len(data), int), n[whose], n[whose] * 0, code, range(lmscore.ACROSS))
+    tables = lmscore.Tables(code, lmscore.packed(counts[:, 0]).astype(np.uint16) | lmscore.packed(counts[:, 1]).astype(np.uint16) << np.uint16(8))
+    got = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "kind int, key binary, cluster int, n bigint").repartition(3)
+        got.append(lmscore.learned_mixer(df, tables, 2))
+    assert all((a == b).all() for a, b in zip(*got))
+    cost = lambda mixer: -lmscore.spelt(words, np.zeros(len(words), int), tables, *mixer) @ n
+    assert cost(got[0]) < cost(lmscore.neutral())
+    empty = lmscore.learned_mixer(df.limit(0), tables, 2)
+    assert all((a == b).all() for a, b in zip(empty, lmscore.neutral()))
+
+
+def told(texts):
+    split = lmscore.tokens(texts)
+    return lmscore.phrases(lmscore.hashes(split), np.array([len(own) - 1 for own in split], np.int64))
+
+
+def cut(t):
+    keys, stops, many = told([t])
+    assert many.tolist() == [len(keys)] == [len(stops)]
+    return keys, stops
+
+
+def test_phrases_are_cut_alike_wherever_they_stand():
+    rng = random.Random(20)
+    common, texts = text(rng, 300), [text(rng, rng.randint(0, 90)) for _ in range(6)]
+    keys = []
+    for t in texts:
+        whole = (t + " " + common).upper() if t.startswith("the") else t + " " + common
+        own, stops = cut(whole)
+        assert len(own) == len(stops) and stops[-1] == len(whole.split()) + 1 and (np.diff(stops) > 0).all()
+        keys.append({tuple(k) for k in own.tolist()})
+    shared = set.intersection(*keys)
+    assert len(shared) >= len(cut(common)[0]) - 3 > 5
+    odd = [None, "", " \n", "one", "a b c", "word " * 5000, *texts, "", "a b c d"]
+    whole, stops, many = told(odd)
+    for t, n, a in zip(odd, many, np.cumsum(many) - many):
+        own, own_stops = cut(t)
+        assert own_stops[-1] == len((t or "").split()) + 1 and (own == whole[a : a + n]).all() and (own_stops == stops[a : a + n]).all()
+    assert (cut("a b c")[0] != cut("a b d")[0]).any() and (cut("A b  c\n")[0] == cut("a b c")[0]).all()
+    assert len(told([])[0]) == 0
+
+
+def test_scores_equal_brute_force(spark):
+    """The whole model, from its tables, against loops over texts, words and phrases."""
+    rng = random.Random(23)
+    twin = text(rng, 120)
+    rows = [(k, text(rng, rng.randint(0, 60)) + f" only{k} pair{k // 2}") for k in range(60)] + [(100, twin), (101, twin), (102, twin + " " + twin), (103, None), (104, "\0 x"), (105, text(rng, 40) + " unseen words here")]
+    df = docs(spark, rows)
+    held = C.crc_mod(F.col("doc_id"), 7) == 2
+    counts = lmscore.count(df, ~held)
+    model = lmscore.fit(counts)
+    got = {r["doc_id"]: r for r in lmscore.score(df, held, counts, model).collect()}
+    out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    of = {i: int(lmscore.nearest(lmscore.byte_pairs([t]), model.centres)[0]) for i, t in rows}
+    words = {i: lmscore.tokens([t])[0] for i, t in rows}
+    total, by_cluster, phrase, ahead = Counter(), Counter(), Counter(), Counter()
+    for i, t in rows:
+        if not out(i):
+            total.update(words[i])
+            by_cluster.update((w, of[i]) for w in words[i][:-1])
+            for k, p in cut(t)[0].tolist():
+                phrase[k, p] += 1
+                ahead[k] += 1
+    sums = np.array([sum(n for (w, c), n in by_cluster.items() if c == k) for k in range(len(model.centres))], float)
+    size, everything = sums * (1 + counts.texts / counts.tokens) + lmscore.SMOOTH, counts.tokens
+    assert math.isclose(model.whole, 1 - sum(n == 1 for w, n in total.items() if w != lmscore.END) / everything)
+    for i, t in rows:
+        c, own = of[i], words[i]
+        spelt = lmscore.spelt(own, np.full(len(own), c), model.tables, model.weights, model.refine)
+        spelt = spelt + lmscore.Speller(model).starts(lmscore.neighbours([own]), np.full(len(own), c))
+        assert (lmscore.Cut([t]).neighbours() == lmscore.neighbours([own])).all()
+        whole = [((by_cluster[w, c] + lmscore.SMOOTH * total[w] / everything) if w != lmscore.END else (sums[c] + lmscore.SMOOTH) * counts.texts / everything) / size[c] for w in own]
+        mixture = [math.log(model.whole * p + (1 - model.whole) * math.exp(b)) for p, b in zip(whole, spelt)]
+        keys, stops = cut(t)
+        mine = Counter(map(tuple, keys.tolist())) if not out(i) else Counter()
+        before = Counter(keys[:, 0].tolist()) if not out(i) else Counter()
+        state, score, begin = list(map(math.log, lmscore.EXPERTS)), -math.log(lmscore.CLUSTERS), 0
+        for (k, p), stop in zip(keys.tolist(), stops):
+            n = phrase[k, p] - mine[k, p]
+            logs = [sum(mixture[begin:stop]), sum(spelt[begin:stop]), math.log(n / (ahead[k] - before[k] + 1)) if n > 0 else -math.inf]
+            begin, top = stop, max(state)
+            share = [math.exp(s - top) for s in state]
+            share = [x / sum(share) for x in share]
+            own_logs = [a + math.log(x) for a, x in zip(logs, share)]
+            both = max(own_logs) + math.log(sum(math.exp(x - max(own_logs)) for x in own_logs))
+            score += both
+            state = [min(6, max(-6, math.log(x) + lmscore.GATE_RATE * (math.exp(a - both) - x))) for x, a in zip(share, own_logs)]
+        assert math.isclose(got[i]["score"], score / math.log(10), rel_tol=1e-4), i
+    alone, both = (got[i]["bits_per_byte"] for i in (0 if not out(0) else 1, 100))
+    assert both < 0.3 * alone or out(100)
+
+
+def test_words_are_cut_and_looked_up():
+    texts = ["The quick\tBrown fox", None, "", " a\n", "ñÜ x\0 \0", "the"]
+    cut, split = lmscore.Cut(texts), lmscore.tokens(texts)
+    assert [cut.word(k) for k in range(len(cut.text))] == [w for own in split for w in own[:-1]]
+    assert cut.lengths.tolist() == list(map(len, split)) and (cut.hashes == lmscore.hashes(split)).all()
+    assert (cut.neighbours() == lmscore.neighbours(split)).all()
+    assert cut.spread(cut.text, -1, int).tolist() == [x for k, own in enumerate(split) for x in [k] * (len(own) - 1) + [-1]]
+    for none in ([], [None], ["", " "]):
+        assert len(lmscore.Cut(none).neighbours()) == len(none)
+    rng = np.random.default_rng(0)
+    keys = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))
+    keys[:200] = keys[:200] >> np.uint64(40)  # that all want the same slots
+    keys = np.unique(keys)
+    found = lmscore.Frequent(keys)
+    assert (found(keys) == np.arange(len(keys))).all() and (found(rng.integers(0, 2**64, 5000, dtype=np.uint64)) == -1).all()
+    assert (lmscore.Frequent(keys[:0])(keys) == -1).all()
+
+
+def test_gate_follows_the_better_expert():
+    good, bad, none = np.full((6, 1), -1.0), np.full((6, 1), -30.0), np.full((6, 1), -np.inf)
+    first = lmscore.gated(np.hstack((bad, none, good)), np.array([6]))[0]
+    assert -6 + 6 * math.log(lmscore.EXPERTS[2]) < first < -6
+    two = lmscore.gated(np.vstack((np.hstack((bad, none, good)), np.hstack((good, bad, none))[:2])), np.array([6, 2]))
+    assert math.isclose(two[0], first) and two[1] > -2.5
+    assert lmscore.gated(np.empty((0, 3)), np.array([], int)).tolist() == []
 
 
 # nearest neighbours ------------------------------------------------------------------------------------------------------
@@ -530,6 +797,66 @@ def test_neighbours_against_brute_force(spark):
     assert [r["vec_id"] for r in sorted(by[120], key=lambda r: r["rank"])] == [100, 101, 102, 103, 104]
 
 
+def exact_neighbours(rows, q, k):
+    """Ids and cosines of the nearest other ids, an id's nearest vector counting."""
+    own = [np.array(v, float) for i, v in rows if i == q]
+    best = {}
+    for i, v in rows:
+        if i != q:
+            for w in own:
+                best[i] = max(best.get(i, -9), float(ann.cosines(w, np.array([v], float))[0]))
+    return sorted(best, key=lambda i: (-best[i], i))[:k], best
+
+
+def test_neighbours_where_ids_repeat(spark):
+    """Ids that repeat don't push others out, and few lists don't hide any."""
+    rows = [(0, [1.0, 0.1])] + [(1, [1.0, 0.0])] * 10 + [(k, [1.0, 0.0]) for k in range(2, 7)] + [(10, [0.0, 1.0]), (11, [-1.0, 0.2]), (12, [0.3, -1.0]), (13, [-1.0, -1.0])]
+    for extra in ([], [(7, [math.cos(t), math.sin(t)]) for t in range(30)]):
+        df = spark.createDataFrame(rows + extra, "vec_id bigint, embedding array<double>")
+        for lists, probes in ((None, None), (4, 1)):
+            got = sorted(map(tuple, ann.search(df, F.col("vec_id") % 50 == 0, k=12, lists=lists, probes=probes).select("rank", "vec_id", "score").collect()))
+            ids, scores = exact_neighbours(rows + extra, 0, 12)
+            assert [r[0] for r in got] == list(range(1, len(ids) + 1)) and [r[1] for r in got] == ids
+            assert all(math.isclose(r[2], scores[r[1]]) for r in got)
+
+
+def test_neighbours_in_blocks(spark, monkeypatch):
+    """Long lists in several blocks, many queries in several parts."""
+    monkeypatch.setattr(ann, "BLOCK", 30)
+    monkeypatch.setattr(ann, "QUERIES", 5)
+    monkeypatch.setattr(ann, "HELD", 3)
+    rng = np.random.default_rng(4)
+    rows = [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(200, 6)))]
+    got = ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 10 == 0, lists=3, probes=3, shortlist=200).collect()
+    for q in range(0, 200, 10):
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == exact_neighbours(rows, q, 5)[0]
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/embeddings.parquet"), reason="needs the driver's tables")
+def test_recall_on_the_driver_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    lists = int(4 * len(rows) ** 0.5)
+    got = ann.search(df, F.col("vec_id") % 50 == 0, probes=lists // 3).collect()
+    hits = sum(len({r["vec_id"] for r in got if r["query_id"] == q} & set(exact_neighbours(rows, q, 5)[0])) for q, _ in rows if q % 50 == 0)
+    assert hits >= 0.9 * len(got) and len(got) == 5 * sum(q % 50 == 0 for q, _ in rows)
+
+
+def test_asymmetric_distances_follow_the_codes():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = ann.fit(x, 6, 4)
+    x = x.astype(np.float32)
+    near = ann.nearest(x, index.centroids, 2)
+    assert (near[:, 0] == ((x[:, None] - index.centroids) ** 2).sum(axis=2).argmin(axis=1)).all() and (near[:, 0] != near[:, 1]).all()
+    codes = ann.encode(x, near[:, 0], index)
+    whole = ann.decoded(near[:, 0], codes, index)
+    assert ((x - whole) ** 2).sum(axis=1).mean() < ((x - index.centroids[near[:, 0]]) ** 2).sum(axis=1).mean()
+    dots = sum(t.T[:, codes[:, p]] for p, t in enumerate(ann.tables(x[:5], index))) + (x[:5] @ index.centroids.T)[:, near[:, 0]]
+    assert np.allclose(dots, x[:5] @ whole.T, atol=1e-5)
+
+
 def test_neighbours_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id bigint, embedding array<float>")
     got = ann.search(df, F.col("vec_id") % 50 == 0).collect()
