@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,15 +123,18 @@ def thinned(signals: DataFrame, keys: Sequence[str], cooldown_seconds: int, seed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         series, last = None, None
         for batch in batches:
-            keep = []
-            for *own, at_, seed in zip(*(batch.column(c).to_pylist() for c in (*keys, "_island", "_at", "_seed"))):
-                if own != series:
-                    series, last = own, None
-                take = last is None or at_ - last >= cooldown_seconds
-                if take:
-                    last = at_
-                keep.append(take and not seed)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            names = list(zip(*(batch.column(c).to_pylist() for c in (*keys, "_island"))))
+            at, keep = batch.column("_at").to_numpy(), np.zeros(batch.num_rows, bool)
+            begins = [k for k, own in enumerate(names) if not k or own != names[k - 1]]
+            for begin, end in zip(begins, [*begins[1:], len(names)]):
+                if names[begin] != series:
+                    series, last = names[begin], None
+                own = at[begin:end]
+                k = 0 if last is None else int(np.searchsorted(own, last + cooldown_seconds))
+                while k < len(own):  # from one that is kept straight to the next
+                    keep[begin + k], last = True, own[k]
+                    k = int(np.searchsorted(own, last + cooldown_seconds))
+            yield batch.filter(pa.array(keep & ~batch.column("_seed").to_numpy(zero_copy_only=False)))
 
     return dealt.mapInArrow(run, dealt.schema).drop("_seed", "_island", "_at")
 
