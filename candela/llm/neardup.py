@@ -35,7 +35,7 @@ from . import common as C
 BANDS, ROWS = 25, 5
 SMALL_BUCKET = 24
 #: At most so many rows are broadcast, those of the most frequent keys.
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS = 200_000
 #: Pairs that meet one copy of a document's shingle set.
 SHARE = 500
 BLOCK = 512
@@ -213,22 +213,23 @@ class _Links:
     def across(self, pairs: DataFrame) -> DataFrame:
         return self.labelled(self.labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
 
-    def with_sets(self, pairs: DataFrame, column: str, busy: DataFrame) -> DataFrame:
-        """``pairs`` with the shingle set of the document in ``column``. The set of one with many pairs (busy: rep,
-        times) is copied, and its pairs are dealt out to the copies."""
-        parts = F.greatest(F.lit(1), F.ceil(F.col("times") / F.lit(SHARE)))
-        copies = C.stored(busy.select(F.col("rep").alias(column), parts.cast("int").alias("parts"), "times"))
-        salt = F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))).cast("int").alias("salt")
-        dealt = C.left_join_with_hot(pairs, copies, [column], "times", BROADCAST_ROWS).select(*pairs.columns, salt)
+    def with_sets(self, rows: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
+        """``rows``, the ``pairs`` with what they have been joined to, with the shingle set of the document in ``column``. The set
+        of one with more than SHARE pairs is copied, and its pairs are dealt out to the copies."""
         sets = self.sets.select(F.col("rep").alias(column), F.col("shingles").alias(f"set_{column}"))
-        sets = sets.join(copies.drop("times"), column, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        busy = pairs.groupBy(column).agg(F.count("*").alias("times")).where(F.col("times") > SHARE)
+        if busy.isEmpty():
+            return rows.join(sets, column)
+        copies = C.stored(busy.withColumn("parts", F.ceil(F.col("times") / F.lit(SHARE)).cast("int")))
+        parts = F.coalesce("parts", F.lit(1))
+        dealt = C.left_join_with_hot(rows, copies, [column], "times", BROADCAST_ROWS).withColumn("salt", F.pmod(F.xxhash64("a", "b"), parts).cast("int")).drop("parts")
+        sets = sets.join(copies.drop("times"), column, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
         return dealt.join(sets, [column, "salt"]).drop("salt")
 
     def confirm(self, pairs: DataFrame) -> None:
         """pairs: (a, b), each once."""
         pairs = C.stored(pairs)
-        times = lambda c: pairs.groupBy(F.col(c).alias("rep")).agg(F.count("*").alias("times")).where(F.col("times") > SHARE)
-        both = self.with_sets(self.with_sets(pairs, "a", times("a")), "b", times("b")).select("a", "b", "set_a", "set_b")
+        both = self.with_sets(self.with_sets(pairs, pairs, "a"), pairs, "b").select("a", "b", "set_a", "set_b")
         found = C.stored(both.mapInArrow(_confirmed(self.percent), "a bigint, b bigint"))
         self.add(found)
 
