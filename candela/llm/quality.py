@@ -20,6 +20,7 @@ from . import common as C
 
 #: The most labelled rows that a model is fitted on.
 SAMPLE = 20_000
+SAMPLE_TASKS = 32
 BINS = 64
 
 _CLASS = np.zeros(256, np.uint8)  # 0 other, 1 lower, 2 upper, 3 digit, 4 mark, 5 symbol, 6 blank, 7 line end, 8 beyond ASCII, 9 control
@@ -132,6 +133,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, sample:
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (C.crc_mod(F.col("doc_id"), divisor) != 0))
     chosen = own.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     found = C.small_batches(documents).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = found.repartition(SAMPLE_TASKS, "doc_id")  # a number given is kept, so that what the sample is fitted with runs in parallel
     return found.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")).select("doc_id", "text", "y")
 
 
