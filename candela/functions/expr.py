@@ -19,6 +19,23 @@ def share(top: Column, bottom: Column) -> Column:
     return F.try_divide(top.cast("double"), F.nullif(bottom, F.lit(0)).cast("double"))
 
 
+def divided(top: Column, bottom: Column) -> Column:
+    """The quotient by IEEE 754: infinite, or NaN for 0 / 0, where the bottom is 0 (with its sign)."""
+    return F.when(bottom == 0, top * F.pow(bottom, F.lit(-1.0))).otherwise(top / bottom)
+
+
+def log(x: Column) -> Column:
+    """The natural logarithm by IEEE 754: minus infinity of 0, NaN below."""
+    return F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))).otherwise(F.ln(x))
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Aggregate over the rows in which both are known: NaN where one doesn't vary, null without such rows."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return divided(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
 

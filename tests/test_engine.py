@@ -640,6 +640,30 @@ def test_calibration_clips_and_refuses(spark):
         synthetic.profile(segments.segmented(frame(spark, flat(10, start=datetime(2025, 6, 1)))))
 
 
+@pytest.mark.parametrize("values", [(0.0, 5.0, 0.0, 7.0), (3.0, 0.0, 0.0, 2.0), (4.0, 4.0, 4.0, 4.0), (3.0, 6.0, 12.0, 6.0), (5.0,), ()])
+def test_calibration_of_zero_and_constant_prices_equals_its_sql(spark, tmp_path, values):
+    import duckdb
+
+    from candela import queries
+
+    events = [(k, START + timedelta(minutes=10 * k), values[k // 2 % len(values)] + (k % 2 if values[0] == 3 else 0), "x") for k in range(6 * len(values))]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, value double, event_type string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got, want = queries.QUERIES["y01_calibration"](spark, str(tmp_path)).collect(), con.sql(queries.ORACLES["y01_calibration"]).fetchall()
+    assert list(map(str, map(tuple, got))) == list(map(str, want))
+
+
+def test_a_profile_takes_no_bars_of_price_zero(spark):
+    data = wave(1200)
+    profile = synthetic.profile(segments.segmented(frame(spark, data)))
+    assert all(math.isfinite(profile[c]) for c in ("sigma_log_return", "return_ar1", "volatility_persistence", "upper_wick_fraction_mean"))
+    with pytest.raises(ValueError, match="positive"):
+        synthetic.profile(segments.segmented(frame(spark, data + [("A", START + timedelta(minutes=1200), 0.0, 1.0, 0.0, 1.0, 1.0)])))
+    doubling = [("A", START + timedelta(minutes=i), p, p, p, p, 1.0) for i in range(1002) for p in [2.0 ** (i % 2)]]
+    assert synthetic.profile(segments.segmented(frame(spark, doubling)))["observed"]["absolute_return_lag1_correlation"] == 0.0
+
+
 def test_costs_of_a_round_trip(spark):
     df = spark.createDataFrame([(1, 100.0, 100.0)], "direction int, entry double, exit double")
     assert synthetic.trades(df).first()["profit"] == -14.5
