@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from decimal import Decimal
 from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,7 +61,8 @@ def safe_by_horizon(rows: DataFrame, horizons: int = 45, seconds: int = 60) -> D
     return every.join(counts.groupBy("horizon").agg(F.count("*").alias("n")), "horizon", "left").fillna(0, ["n"])
 
 
-def sequence_split(ordinal: Column, total: int, shares: tuple[float, float] = (0.70, 0.85)) -> Column:
-    """train, validation or test of a whole sequence by its ordinal from 0."""
+def sequence_split(ordinal: Column, total: int, shares: tuple[Decimal | float, Decimal | float] = (Decimal("0.70"), Decimal("0.85"))) -> Column:
+    """train, validation or test of a whole sequence by its ordinal from 0. Decimal shares are exact; of doubles the product
+    is rounded ahead of the floor, so that 0.7 of 90 is 62."""
     a, b = (int(total * s) for s in shares)
     return F.when(ordinal < a, "train").when(ordinal < b, "validation").otherwise("test")

@@ -629,6 +629,14 @@ def test_generated_bars_are_canonical_and_seeded(spark):
             synthetic.check_profile(PROFILE | bad)
 
 
+def test_sequences_are_split_at_exact_shares(spark):
+    for total, want in ((90, (63, 13, 14)), (90_000, (63_000, 13_500, 13_500)), (100, (70, 15, 15))):
+        got = spark.range(total).groupBy(splits.sequence_split(F.col("id"), total).alias("split")).count()
+        assert dict(map(tuple, got.collect())) == dict(zip(("train", "validation", "test"), want))
+    generated = synthetic.dataset(spark, PROFILE, 90, 61).groupBy("split").agg(F.count_distinct("instrument")).collect()
+    assert dict(map(tuple, generated)) == {"train": 62, "validation": 14, "test": 14}  # floor(90 * 0.70) in doubles is 62
+
+
 def test_calibration_clips_and_refuses(spark):
     data = [("A", START + timedelta(minutes=i), c, c + 1, c - 1, c, 200.0 + i % 31) for i in range(1200) for c in [16000 + (i % 17) * 0.25]]
     p = synthetic.profile(segments.segmented(frame(spark, data)))
