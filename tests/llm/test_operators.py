@@ -586,6 +586,58 @@ def test_every_word_of_training_has_its_share(spark, monkeypatch):
     assert all(math.isclose(got[0][k], g[k], rel_tol=1e-4) for g in got[1:] for k in got[0])
 
 
+def test_mixer_learns_from_every_word_of_training(spark, monkeypatch):
+    rng = random.Random(31)
+    rows = [(k, text(rng, 40) + f" only{k}") for k in range(120)]
+    seen, learned = [], lmscore.learned_mixer
+    monkeypatch.setattr(lmscore, "learned_mixer", lambda r, *a: seen.extend(map(tuple, r.collect())) or learned(r, *a))
+    df = docs(spark, rows)
+    held = C.crc_mod(F.col("doc_id"), 7) == 2
+    counts = lmscore.count(df, ~held)
+    lmscore.fit(counts)
+    every = [[*t.encode().lower().split(), lmscore.END] for k, t in rows if zlib.crc32(str(k).encode()) % 7 != 2]
+    words = Counter(w for own in every for w in own[:-1])
+    got = Counter()
+    for kind, key, _, n in seen:
+        if kind == 0:
+            got[bytes(key)] += n
+    assert got == words
+    assert sum(n for kind, _, _, n in seen if kind == 1) == sum(map(len, every))
+
+
+@pytest.mark.parametrize("size", [5, 1500])
+def test_clusters_are_found_over_all_texts(spark, monkeypatch, size):
+    """As plain k-means from each of the random starts, of which the better half goes on every HALVED rounds."""
+    rng = random.Random(32)
+    rows = [(k, tongue(rng, ("aa", "bb")[k % 2], 8 + k % 5) if k % 9 else "") for k in range(size)] + [(size + k, "the same copy of one") for k in range(200)]
+    pairs = lmscore.byte_pairs([t for _, t in rows])
+    pairs = pairs[pairs.any(axis=1)].astype(np.int64)
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    distinct = spark.createDataFrame([(bytes(p.astype(np.uint8)),) for p in np.unique(pairs, axis=0)], "p binary").orderBy(F.xxhash64("p"), "p").collect()
+    first = unit(np.array([list(r["p"]) for r in distinct[: lmscore.STARTS * lmscore.CLUSTERS]], float))
+    if len(first) < lmscore.STARTS * lmscore.CLUSTERS:
+        starts = [first[np.random.default_rng(k).permutation(len(first))[: lmscore.CLUSTERS]] for k in range(lmscore.STARTS)]
+    else:
+        starts = [first[k * lmscore.CLUSTERS : (k + 1) * lmscore.CLUSTERS] for k in range(lmscore.STARTS)]
+    for done in range(1, lmscore.ROUNDS + 1):
+        worth, after = [], []
+        for centres in starts:
+            dots = pairs.astype(np.float32) @ centres.T
+            of = dots.argmax(axis=1)
+            sums = [pairs[of == k].sum(axis=0) for k in range(len(centres))]
+            after.append(np.array([unit(t[None].astype(float))[0] if t.any() else c for t, c in zip(sums, centres)]))
+            worth.append(dots.max(axis=1).sum())
+        same = all(np.array_equal(a, b) for a, b in zip(after, starts))
+        starts = after
+        if same or done % lmscore.HALVED == 0:
+            best = sorted(np.argsort(-np.array(worth), kind="stable")[: 1 if same else max(1, len(starts) // 2)])
+            starts = [starts[k] for k in best]
+        if same:
+            break
+    got = lmscore.clustered(docs(spark, rows))
+    assert got.shape == starts[0].shape and np.allclose(got, starts[0], atol=1e-3)
+
+
 def slow_contexts(word, ahead, cluster):
     """The contexts of a word's bytes and its blank, named in plain words."""
     spelling, out = [*word, 32], []
